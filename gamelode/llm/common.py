@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, after this package was sent to the executors: they need not have it on their path."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_gamelode_sent", False):
+        root = Path(__file__).parents[1]
+        name = Path(tempfile.mkdtemp(prefix="gamelode-")) / "gamelode.zip"  # the driver serves it from here
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(name))
+        sc._gamelode_sent = True
+    return df.mapInArrow(run, schema)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null counts as empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()

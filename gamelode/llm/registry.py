@@ -1,8 +1,11 @@
 """Queries of this subpackage, and SQL for those that it can express."""
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, piece_dropout, quality, simhash
 
 QUERIES = {
+    "op3_piece_dropout": piece_dropout.query,
+    "op4_mix_sources": mixing.query,
+    "op5_quality_classifier": quality.query,
     "op7_simhash_near_dedup": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
 }

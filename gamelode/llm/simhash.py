@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, fp long")
+    return common.arrow_map(docs.select(F.col(doc_id), F.col(text)), run, f"doc_id {kind}, fp long")
 
 
 def cell_masks(radius: int, blocks: int) -> list[int]:
@@ -141,7 +141,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: int
     cells = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("part"), F.expr(f"{embedding} & {m}L").alias("cell")) for i, m in enumerate(cell_masks(radius, blocks))]))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = fps.select("fp", cells.alias("c")).select("c.cell", "c.part", "fp").repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "fp")
-    found = common.saved(dealt.mapInArrow(_cell_links(radius, most), "a long, b long").distinct())
+    found = common.saved(common.arrow_map(dealt, _cell_links(radius, most), "a long, b long").distinct())
     full = found.where("b IS NULL").select(F.col("a").alias("fp"))
     found = found.where("b IS NOT NULL")
     return found if full.isEmpty() else found.unionByName(midpoint_links(full, radius)).distinct()
