@@ -305,8 +305,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
     def run(batches):
         p = pieces(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(1).fill_null("").to_pylist()
                 flat, n = encode_batch(p, texts, part.column(0).to_pylist(), rate, seed, slots)
                 ids, ends = flat.tolist(), np.cumsum(n).tolist()

@@ -47,6 +47,8 @@ def measures(text: bytes) -> dict[str, float]:
         "bars": text.count(b"|") / n,
         "shouts": text.count(b"!!") / n,
         "repeats": sum(map(eq, words, words[1:])) / n,
+        "runs": sum(a == b == c for a, b, c in zip(words, words[1:], words[2:])) / n,
+        "distinct": 1 - len(set(words)) / n,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "length": sum(map(len, words)) / n,
         "function": sum(map(FUNCTION_WORDS.__contains__, text.lower().split())) / n,
@@ -60,6 +62,8 @@ LABELLERS = {
     "bars": ("bars", 0.01, 0.05),
     "shouts": ("shouts", 0.01, 0.05),
     "repeats": ("repeats", 0.04, 0.12),
+    "runs": ("runs", 0.02, 0.08),
+    "distinct": ("distinct", 0.55, 0.7),
     "lines": ("lines", 0.2, 0.5),
     "length": ("length", 6.0, 7.5),
     "function": ("function", -0.12, -0.04),
@@ -151,6 +155,9 @@ def fit(rows: list[dict[int, float]], target: np.ndarray, rounds: int = 400, rat
 
 
 def score(text: bytes, w: np.ndarray) -> float:
+    """1 for texts under LEAST_WORDS words, on which no labeller votes."""
+    if len(text.split(None, LEAST_WORDS)) < LEAST_WORDS:
+        return 1.0
     z = float(w[-1]) + sum(float(w[b]) * v for b, v in features(text).items())
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
@@ -189,14 +196,14 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_row
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weights: np.ndarray | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, quality (0 to 1, high for clean text), kept (quality >= THRESHOLD).
 
-    Null and empty texts count as clean, for nothing speaks against them. Repeated rows get equal scores; an empty
+    Null, empty and very short texts count as clean (1), for no labeller votes on them. Repeated rows get equal scores; an empty
     table gives no rows; where all documents look alike, all stay.
     """
     w = train(docs, text, doc_id, train_rows) if weights is None else weights
 
     def run(batches):
         for b in batches:
-            got = [score(t, w) if t.strip() else 1.0 for t in common.byte_texts(b.column(1))]
+            got = [score(t, w) for t in common.byte_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64()), pa.array([g >= THRESHOLD for g in got], pa.bool_())], names=["doc_id", "quality", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -210,7 +217,7 @@ def keep_clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     def run(batches):
         for b in batches:
-            keep = [not t.strip() or score(t, w) >= THRESHOLD for t in common.byte_texts(b.column(at))]
+            keep = [score(t, w) >= THRESHOLD for t in common.byte_texts(b.column(at))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return common.arrow_map(docs, run, docs.schema)
