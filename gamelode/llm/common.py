@@ -80,22 +80,18 @@ def filter_bits(n_keys: int, per_key: int = BITS_PER_KEY, most: int = MAX_BITS)
 def repeated_slots(slots: DataFrame) -> DataFrame:
     """Bitmaps (bucket, bits) of the slots (column slot) that occur at least twice."""
     twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    # a scattered slot number counts from 0; bitmap functions count buckets from 1
     return twice.groupBy(F.bitmap_bucket_number(F.col("slot")).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot"))).alias("bits")
     )
 
 
-def collected_filter(slots: DataFrame, n_bits: int) -> np.ndarray:
-    """The bitmaps of repeated_slots as one array of n_bits/8 bytes on the driver (at most MAX_BITS/8)."""
-    out = np.zeros(n_bits // 8 + 4096, np.uint8)
-    where = F.bitmap_bucket_number(F.lit(0).cast("long"))
-    first = None
-    for r in repeated_slots(slots).toLocalIterator():
-        if first is None:
-            first = slots.sparkSession.range(1).select(where).first()[0]
-        at = (r[0] - first) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r[1]), np.uint8)
+def bit_array(slots: DataFrame, n_bits: int) -> np.ndarray:
+    """A bit for each slot (column slot, below n_bits) on the driver: n_bits / 8 bytes, MAX_BITS / 8 at most."""
+    at = F.col("slot") + 1  # bitmap functions count from 1
+    bitmaps = slots.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(max(n_bits // 8, 4096), np.uint8)
+    for bucket, bits in bitmaps.toLocalIterator():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 

@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that it can express."""
 
-from . import exact_dedup, mixing, piece_dropout, quality, simhash, toxicity, url_filter, va_file
+from . import exact_dedup, mixing, piece_dropout, quality, simhash, suffix_dedup, toxicity, url_filter, va_file
 
 QUERIES = {
     "op2_va_file_top_k": va_file.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_quality_classifier": quality.query,
     "op6_url_filter": url_filter.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }

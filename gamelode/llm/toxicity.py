@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic text, of which only the words that set toxic
 texts apart are left (words seen in many different contexts in toxic texts and hardly in ordinary ones, so that a
 passage copied many times counts once). Both dictionaries end in the same ordinary part and have the same length. A
-text is cut into windows of WINDOW bytes; each is compressed with either dictionary, and the bytes that the toxic one
-saves are summed up in a few figures, which a logistic curve, fitted on labelled texts kept from the dictionaries,
+text is cut into windows of at least WINDOW bytes, a word or two; each is compressed with either dictionary, and the bytes that the toxic one
+saves are counted in a few shares, which a logistic curve, fitted on labelled texts kept from the dictionaries,
 turns into a score.
 """
 
@@ -23,7 +23,10 @@ from . import common
 
 #: Labelled texts used, on average: their ids' hashes fall under a bound (at most twice as many).
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
-WINDOW, LEVEL, TOXIC_BYTES, SHARED_BYTES, THRESHOLD = 64, 3, 4096, 15_000, 0.7
+WINDOW, LEVEL, TOXIC_BYTES, SHARED_BYTES, THRESHOLD = 10, 3, 4096, 3000, 0.7
+#: Every window is compressed behind these bytes, which both dictionaries end in: so it never falls under the least size of a block.
+CARRIER = np.random.default_rng(2).integers(1, 256, 64, np.uint8).tobytes()
+MEMO = 1 << 19
 #: A word sets toxic texts apart with at least LEAST contexts, one for each 100 toxic texts, and RATIO times its rate in ordinary texts.
 LEAST, PER_TEXT, RATIO, MOST_WORDS, MOST_SAMPLES = 3, 100, 8.0, 2000, 40_000
 PUNCTUATION = b".,!?;:\"'()"
@@ -61,22 +64,35 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
+#: A toxic text counts this many times an ordinary one: at score THRESHOLD the odds, as they are in the labels, are even.
+FIGURES, TOXIC_WEIGHT = 6, THRESHOLD / (1 - THRESHOLD)
+
+
 class Model:
+    """Dictionaries and curve. figures() are shares of the windows by how many bytes the toxic dictionary saves."""
+
     def __init__(self, toxic: bytes, shared: bytes, curve: tuple[float, ...]):
-        self.parts, self.curve = (toxic, shared), curve
+        self.parts, self.curve, self.memo = (toxic, shared), curve, {}
         filler = np.random.default_rng(1).integers(0, 256, len(toxic), np.uint8).tobytes()
-        self.size = [_compressor(x + shared) for x in (filler, toxic)]
+        self.size = [_compressor(x + shared + CARRIER) for x in (filler, toxic)]
 
     def __reduce__(self):
         return Model, (*self.parts, self.curve)
 
+    def saved(self, window: bytes) -> int:
+        if (found := self.memo.get(window)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            block = CARRIER + window
+            found = self.memo[window] = len(self.size[0](block)) - len(self.size[1](block))
+        return found
+
     def figures(self, text: bytes) -> tuple[float, ...]:
-        ordinary, toxic = self.size
-        saved = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
-        if not saved:
-            return (0.0,) * 5
-        n, total = len(saved), sum(saved)
-        return total / n, total / math.sqrt(n), min(float(max(saved)), 12.0), sum(s >= 3 for s in saved) / n, math.log1p(n)
+        saved = np.fromiter(map(self.saved, windows(text)), np.int64)
+        if not len(saved):
+            return (0.0,) * FIGURES
+        shares = [float((saved >= k).mean()) for k in (3, 4, 5, 6)]
+        return (*shares, shares[2] ** 0.5, min(float(saved.max()), 9.0))
 
     def score(self, text: bytes) -> float:
         z = self.curve[-1] + sum(a * b for a, b in zip(self.curve, self.figures(text)))
@@ -85,16 +101,21 @@ class Model:
 
 @lru_cache(maxsize=8)
 def _compressor(content: bytes):
+    """Matches from four bytes on: short words must find their way into the lengths."""
+    how = zstandard.ZstdCompressionParameters(
+        window_log=16, chain_log=16, hash_log=16, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
     if not content:
-        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
+        return zstandard.ZstdCompressor(compression_params=how).compress
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    known.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    known.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress
 
 
 def fit_curve(rows: np.ndarray, toxic: np.ndarray, rounds: int = 60, decay: float = 1e-2) -> tuple[float, ...]:
     """Logistic regression by Newton's steps on standardised figures; weights for the figures as they are, constant last."""
-    n = rows.shape[1] if rows.size else 5
+    n = FIGURES
     if not len(rows) or toxic.min() == toxic.max():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.05
         return (*[0.0] * n, math.log(share / (1 - share)))
@@ -160,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     samples = {y: [bytes(r[0]) for r in cut.where(F.col("toxic") == y).select("piece").orderBy(F.xxhash64("piece"), "piece").limit(MOST_SAMPLES).collect()] for y in (0, 1)}
     words = b" ".join(w for w, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
     toxic = trained(samples[1], TOXIC_BYTES) + b" " + words + b" " if found else b""
-    model = Model(toxic, trained(samples[0], SHARED_BYTES), (0.0,) * 6)
+    model = Model(toxic, trained(samples[0], SHARED_BYTES), (0.0,) * (FIGURES + 1))
 
     def measure(batches):
         for b in batches:
@@ -168,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "figures"])
 
     seen = sorted((r[0], *r[1]) for r in common.arrow_map(texts.where("part = 0").select("toxic", "text"), measure, "toxic int, figures array<double>").collect())
-    seen = np.array(seen, float).reshape(-1, 6)
-    return Model(toxic, model.parts[1], fit_curve(seen[:, 1:], seen[:, 0]))
+    seen = np.array(seen, float).reshape(-1, FIGURES + 1)
+    *weights, constant = fit_curve(seen[:, 1:], seen[:, 0])
+    return Model(toxic, model.parts[1], (*weights, constant + math.log(TOXIC_WEIGHT)))
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
