@@ -1,8 +1,9 @@
 """Queries of this subpackage, and SQL for those that it can express."""
 
-from . import exact_dedup, mixing, piece_dropout, quality, simhash, suffix_dedup, toxicity, url_filter, va_file
+from . import chaining, exact_dedup, mixing, piece_dropout, quality, simhash, suffix_dedup, toxicity, url_filter, va_file
 
 QUERIES = {
+    "op1_collinear_chaining": chaining.query,
     "op2_va_file_top_k": va_file.query,
     "op3_piece_dropout": piece_dropout.query,
     "op4_mix_sources": mixing.query,
