@@ -87,10 +87,10 @@ def logit(host: Column, path: Column, w: list[float]) -> Column:
 
 
 def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, w: list[float] | None = None) -> DataFrame:
-    """page_id, host, path, rule (the longest that fits, else null), verdict, logit.
+    """page_id, host, path, rule (the longest that fits, else null), verdict (block or allow).
 
     A rule `host/path` fits that host and its subdomains where the url's path starts with /path; else the
-    regression decides. A null url or one without :// has empty host and path and gets the constant's verdict.
+    regression decides. A null url or one without :// has empty host and path and gets the verdict of the constant.
     Repeated rows give repeated rows; an empty table gives no rows.
     """
     w = train() if w is None else w
