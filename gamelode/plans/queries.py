@@ -611,3 +611,22 @@ def _(t):
 def _(t):
     batches = t.env.groupBy("game_id", F.col("server_received_time").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     return K.rate_limited(batches, Config(rate_per_s=1, rate_burst=1))
+
+
+@query("q_retention_curve", f"""WITH {O.SESSIONS}, {_TARGETS}, h AS (SELECT c.game_id, g.t, coalesce(sum(retained), 0) / sum(cohort_size) AS rate FROM cohort c CROSS JOIN g LEFT JOIN cell ON cell.game_id = c.game_id AND cell.cohort_date = c.cohort_date AND cell.day_offset = g.t
+WHERE DATE '{AS_OF}' - c.cohort_date >= g.t GROUP BY 1, 2)
+SELECT game_id, {n('t', 'target')}, floor(rate * 1000 + 0.5) / 10 AS percent FROM h UNION ALL SELECT DISTINCT game_id, CAST(0 AS BIGINT), CAST(100 AS DOUBLE) FROM h""")
+def _(t):
+    h = S.headline(t.sessions, AS_OF, CFG).select("game_id", F.col("target").cast("long").alias("target"), (F.floor(F.col("rate") * 1000 + 0.5) / 10).alias("percent"))
+    return h.unionByName(h.select("game_id").distinct().select("game_id", F.lit(0).cast("long").alias("target"), F.lit(100.0).alias("percent")))
+
+
+@query("q_economy_period", f"WITH {O.ECONOMY} {_day_sql('game_id, currency', '(SELECT * FROM flow WHERE day BETWEEN DATE %s2024-01-08%s AND DATE %s2024-01-14%s)' % (chr(39), chr(39), chr(39), chr(39)))}")
+def _(t):
+    cells = ECO.flow_cells(t.flows).where("day BETWEEN date'2024-01-08' AND date'2024-01-14'")
+    return ECO.day_view(cells, ["game_id", "currency"], CFG)
+
+
+@query("q_identity_edge", f"WITH {O.ROUTED} SELECT game_id, anon_id, user_id, min(corrected_time) AS first_linked_ms FROM counted WHERE anon_id IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL")
+def _(t):
+    return t.counted.where("anon_id IS NOT NULL AND user_id IS NOT NULL").groupBy("game_id", "anon_id", "user_id").agg(F.min("corrected_time").alias("first_linked_ms"))
