@@ -1,11 +1,11 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The agenda of a chunk holds its adjacent pairs that merge to a piece; the best piece (leftmost on a tie) is popped.
-A popped candidate is skipped for good when a keyed hash of (seed, slot, the chunk's bytes, the span) falls under the
-dropout rate, so that every segmentation is a function of the seed and recomputing a lost partition gives the same
-ids. Merges never cross the start of a word or a line feed, for no piece does, so chunks are encoded on their own:
-equal chunks of a batch that drew the same slot are encoded once, and many chunks at a time in NumPy. The slot of a
-chunk is a keyed hash of the document's id and the chunk's place, so a word is cut in up to SLOTS ways in one text.
+A popped candidate is skipped for good when a keyed hash of (seed, the document's id, the chunk's place, the span) falls
+under the dropout rate, so that every segmentation is a function of the seed and recomputing a lost partition gives the
+same ids. Merges never cross the start of a word or a line feed, for no piece does, so chunks are encoded on their own,
+many at a time in NumPy. Equal chunks of a batch are encoded once without dropout; an occurrence that skips none of the
+candidates popped there has these pieces, and only the others are encoded one by one.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-DROPOUT, SEED, SLOTS, TOKENIZER = 0.1, 17, 8, "piece_bpe_32k.model"
+DROPOUT, SEED, TOKENIZER = 0.1, 17, "piece_bpe_32k.model"
 SPACE, NONE = "▁", np.int32(2**31 - 1)
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 #: Chunks up to this many characters are encoded side by side, the others one at a time on a heap.
 WIDEST = 48
+#: Occurrences of chunks that are held against the dropout rate at a time.
+SLICE = 1 << 18
 
 
 def default_model() -> str:
@@ -153,8 +155,9 @@ def encode_one(p: Pieces, symbols: list[int], key: int, rate: float) -> list[tup
     return out
 
 
-def encode_many(p: Pieces, symbols: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+def encode_many(p: Pieces, symbols: np.ndarray, keys: np.ndarray, rate: float, popped: list | None = None) -> np.ndarray:
     """Agenda processing of chunks side by side; symbols[place, chunk], padded with -3. What merged away becomes -2.
+    The merges' (chunks, starts, ends) are added to popped.
 
     An agenda's entry is rank * 64 + place, so one minimum over the places pops the best candidate, leftmost on a tie.
     """
@@ -185,6 +188,8 @@ def encode_many(p: Pieces, symbols: np.ndarray, keys: np.ndarray, rate: float) -
             continue
         at = top & 63
         mid = nxt[at, r]
+        if popped is not None:
+            popped.append((who[r], at, np.minimum(nxt[mid, r], width[r])))
         if rate:
             end = np.minimum(nxt[mid, r], width[r])
             skip = _skipped(keys[r], at, end, rate)
@@ -225,21 +230,12 @@ def _flat(p: Pieces, sym: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, n
     return ids, per.sum(axis=1)
 
 
-def chunk_keys(points: np.ndarray, starts: np.ndarray, lens: np.ndarray, slots: np.ndarray, seed: int) -> np.ndarray:
-    """A keyed 64-bit hash of each chunk's characters and slot: a polynomial in the characters, then mixed."""
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.full(int(lens.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        place = np.arange(len(points)) - np.repeat(starts, lens)
-        terms = _mix(points.astype(np.uint64) + np.uint64(seed + 1)) * powers[place]
-        return _mix(np.add.reduceat(terms, starts) + slots.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def encode_chunks(p: Pieces, chunks: list[str], slots: np.ndarray, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of all chunks (none empty) in order, and each chunk's number of ids."""
+def encode_chunks(p: Pieces, chunks: list[str], keys: np.ndarray, rate: float, popped: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of all chunks (none empty) in order, and each chunk's number of ids. The merges' (chunks, starts, ends)
+    of chunks up to WIDEST are added to popped."""
     lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
     points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
     starts = np.cumsum(lens) - lens
-    keys = chunk_keys(points, starts, lens, slots, seed) if rate else np.zeros(len(chunks), np.uint64)
     counts, found = np.zeros(len(chunks), np.int64), []
     lower = 0
     for width in (1, 4, 7, 9, 11, 14, 20, 32, WIDEST):
@@ -251,7 +247,10 @@ def encode_chunks(p: Pieces, chunks: list[str], slots: np.ndarray, rate: float =
             inside = cols < lens[rows][:, None]
             pts = points[np.minimum(starts[rows][:, None] + cols, len(points) - 1)]
             sym = np.where(inside, p.symbol[pts], -3).astype(np.int32)
-            ids, per = _flat(p, encode_many(p, np.ascontiguousarray(sym.T), keys[rows], rate).T, pts)
+            merged: list | None = None if popped is None else []
+            ids, per = _flat(p, encode_many(p, np.ascontiguousarray(sym.T), keys[rows], rate, merged).T, pts)
+            if merged:
+                popped += [(rows[w], s, e) for w, s, e in merged]
             counts[rows] = per
             found.append((rows, ids, per))
     for i in np.flatnonzero(lens > WIDEST).tolist():
@@ -267,8 +266,16 @@ def encode_chunks(p: Pieces, chunks: list[str], slots: np.ndarray, rate: float =
     return out, counts
 
 
-def encode_batch(p: Pieces, texts: list[str], ids: list, rate: float = DROPOUT, seed: int = SEED, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Flat piece ids of the texts, and how many each has. A text's slots are keyed by its id in ids."""
+def chunk_keys(ids: list, per_text: np.ndarray, seed: int) -> np.ndarray:
+    """A keyed 64-bit hash of each chunk's document id and place."""
+    doc = np.fromiter((xxhash.xxh64_intdigest(repr(i), seed) for i in ids), np.uint64, len(ids))
+    place = np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    with np.errstate(over="ignore"):
+        return _mix(np.repeat(doc, per_text) + _mix(place.astype(np.uint64) + np.uint64(1)))
+
+
+def encode_batch(p: Pieces, texts: list[str], ids: list, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Flat piece ids of the texts, and how many each has. A text's dropout is keyed by its id in ids."""
     chunks, per_text = [], []
     for t in texts:
         found = CHUNKS.findall(" " + t) if t else []
@@ -279,22 +286,38 @@ def encode_batch(p: Pieces, texts: list[str], ids: list, rate: float = DROPOUT,
     per_text = np.array(per_text)
     coded = pa.array(chunks, pa.string()).dictionary_encode()
     words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    place = np.arange(len(chunks)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    doc = np.fromiter((xxhash.xxh64_intdigest(repr(i), seed) for i in ids), np.uint64, len(texts))
-    with np.errstate(over="ignore"):
-        slot = (_mix(np.repeat(doc, per_text) + place.astype(np.uint64)) % np.uint64(slots)).astype(np.int64) if rate else np.zeros(len(chunks), np.int64)
-    code = index * slots + slot
-    present = np.zeros(len(words) * slots, bool)
-    present[code] = True
-    kinds, back = np.flatnonzero(present), (np.cumsum(present) - 1)[code]
-    flat, counts = encode_chunks(p, [words[k] for k in (kinds // slots).tolist()], kinds % slots, rate, seed)
+    popped: list = []
+    flat, counts = encode_chunks(p, words, np.zeros(len(words), np.uint64), 0.0, popped if rate else None)
     begin = np.cumsum(counts) - counts
-    n = counts[back]
-    out = flat[np.repeat(begin[back] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    first, n = begin[index], counts[index]
+    if rate:
+        keys = chunk_keys(ids, per_text, seed)
+        word, start, end = (np.concatenate([x[i] for x in popped] or [np.empty(0, np.int64)]) for i in range(3))
+        order = np.argsort(word, kind="stable")
+        start, end = start[order], end[order]
+        spans = np.bincount(word, minlength=len(words))
+        at = np.cumsum(spans) - spans
+        long = np.fromiter((len(w) > WIDEST for w in words), bool, len(words))
+        varied, size = [flat], len(flat)
+        for lo in range(0, len(index), SLICE):
+            w, key = index[lo : lo + SLICE], keys[lo : lo + SLICE]
+            k = spans[w]
+            who = np.repeat(np.arange(len(w)), k)
+            span = at[w][who] + np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k)
+            drops = long[w]
+            drops[who[_skipped(key[who], start[span], end[span], rate)]] = True
+            drops = np.flatnonzero(drops)
+            if len(drops):
+                got, n_got = encode_chunks(p, [words[i] for i in w[drops].tolist()], key[drops], rate)
+                first[lo + drops], n[lo + drops] = size + np.cumsum(n_got) - n_got, n_got
+                varied.append(got)
+                size += len(got)
+        flat = np.concatenate(varied)
+    out = flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     return out, np.add.reduceat(np.append(n, 0), np.cumsum(per_text) - per_text) * (per_text > 0)
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str | None = None, rate: float = DROPOUT, seed: int = SEED, slots: int = SLOTS) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str | None = None, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, pieces (array of int), n_pieces, lossless (whether decoding the pieces gives the text again).
 
     Null and empty texts have no pieces; decoding gives the empty text. Repeated rows give equal rows. model is the
@@ -308,7 +331,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 texts = part.column(1).fill_null("").to_pylist()
-                flat, n = encode_batch(p, texts, part.column(0).to_pylist(), rate, seed, slots)
+                flat, n = encode_batch(p, texts, part.column(0).to_pylist(), rate, seed)
                 ids, ends = flat.tolist(), np.cumsum(n).tolist()
                 same = [p.decode(ids[e - k : e]) == t for t, e, k in zip(texts, ends, n.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), common.ragged(flat, n, pa.int32()), pa.array(n), pa.array(same)], names=["doc_id", "pieces", "n_pieces", "lossless"])
