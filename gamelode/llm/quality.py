@@ -155,8 +155,8 @@ def fit(rows: list[dict[int, float]], target: np.ndarray, rounds: int = 400, rat
 
 
 def score(text: bytes, w: np.ndarray) -> float:
-    """1 for texts under LEAST_WORDS words, on which no labeller votes."""
-    if len(text.split(None, LEAST_WORDS)) < LEAST_WORDS:
+    """1 for texts without a word; short texts, on which no labeller votes, are scored like others."""
+    if not text.split(None, 1):
         return 1.0
     z = float(w[-1]) + sum(float(w[b]) * v for b, v in features(text).items())
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
@@ -196,7 +196,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_row
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weights: np.ndarray | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, quality (0 to 1, high for clean text), kept (quality >= THRESHOLD).
 
-    Null, empty and very short texts count as clean (1), for no labeller votes on them. Repeated rows get equal scores; an empty
+    Null, empty and blank texts count as clean (1). Repeated rows get equal scores; an empty
     table gives no rows; where all documents look alike, all stay.
     """
     w = train(docs, text, doc_id, train_rows) if weights is None else weights
