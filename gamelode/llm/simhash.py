@@ -119,19 +119,25 @@ def _cell_links(radius: int, most: int):
     return run
 
 
+def _ball(fps: DataFrame, flips: int) -> DataFrame:
+    """(fp, z): each fp with all values that differ from it in at most `flips` bits."""
+    out = fps.select("fp", F.col("fp").alias("z"), F.lit(-1).alias("last"))
+    for _ in range(flips):  # one more bit to the right of the last one, or none any more (64)
+        bit = F.explode(F.when(F.col("last") < 63, F.sequence(F.col("last") + 1, F.lit(64))).otherwise(F.array(F.lit(64))))
+        out = out.select("fp", "z", bit.alias("last")).select("fp", F.expr("z ^ CASE WHEN last < 64 THEN shiftleft(1L, last) ELSE 0L END").alias("z"), "last")
+    return out.select("fp", "z")
+
+
 def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that join the components of fps (column fp) under an even radius, in rows linear in fps.
+    """Links (a, b) that join the components of fps (column fp) under radius, in rows linear in fps.
 
-    Two values lie within radius iff some value lies within radius/2 of both; all that share such a midpoint link to
-    the least of them. Written for radius 4: each value has 1 + 64 + 2016 midpoints.
+    Two values lie within radius iff some value lies within radius // 2 of one and the rest of radius of the other. Of
+    those that are near such a midpoint the least within radius // 2 is linked with all others: they lie within radius of
+    it. For radius 4 each value has 1 + 64 + 2016 midpoints.
     """
-    if radius != 4:
-        raise ValueError("midpoints are written for radius 4")
-    bit = "CASE WHEN {0} < 64 THEN shiftleft(1L, {0}) ELSE 0L END"
-    flips = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select("fp", "i", F.explode(F.sequence("i", F.lit(64))).alias("j")).where("i <> j OR i = 64")
-    mid = flips.select("fp", F.expr(f"fp ^ ({bit.format('i')}) ^ ({bit.format('j')})").alias("z"))
-    least = mid.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("z", "a")
-    return mid.join(least, "z").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    near, far = _ball(fps, radius // 2), _ball(fps, radius - radius // 2)
+    least = near.groupBy("z").agg(F.min("fp").alias("a"))
+    return far.join(least, "z").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: int = CELL_IN_MEMORY) -> DataFrame:
@@ -140,6 +146,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: int
     embedding = f"(shiftleft(fp & shiftrightunsigned(fp, 1) & {odd}, 1) | ((fp ^ shiftrightunsigned(fp, 1)) & {odd}))"
     cells = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("part"), F.expr(f"{embedding} & {m}L").alias("cell")) for i, m in enumerate(cell_masks(radius, blocks))]))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(n)  # each becomes some 70 rows: all tasks share them
     dealt = fps.select("fp", cells.alias("c")).select("c.cell", "c.part", "fp").repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "fp")
     found = common.saved(common.arrow_map(dealt, _cell_links(radius, most), "a long, b long").distinct())
     full = found.where("b IS NULL").select(F.col("a").alias("fp"))
@@ -165,9 +172,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose id is the least of their component; all columns."""
-    keep = near_groups(docs, text, doc_id, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_keep")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__near_keep")), "left_semi")
+    """The rows of docs with the least id of their component, all columns; of several texts with that id one (the least
+    hash). Rows that repeat id and text of the one that stays all stay. A null id gives way to any other."""
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("content"))
+    groups = near_groups(docs.select(key.alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", width, radius)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id.id").alias("__near_id"), F.col("doc_id.content").alias("__near_content")).distinct()
+    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__near_id")) & (F.xxhash64(text) == F.col("__near_content")), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
