@@ -1,11 +1,14 @@
 """Each corpus operator against a brute-force version on small fixtures, and its edge cases."""
 
 import hashlib
+import heapq
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from gamelode.llm import chaining, common, exact_dedup, mixing, piece_dropout, quality, simhash, suffix_dedup, toxicity, url_filter, va_file
@@ -105,6 +108,39 @@ def test_near(spark, most):
     assert simhash.near_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_midpoints_of_other_radii(spark, radius):
+    rng = random.Random(40 + radius)
+    values = [rng.getrandbits(63)]
+    for _ in range(40):
+        values.append(rng.choice(values) ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 5))))
+    values = sorted(set(values))
+    found = {(r.a, r.b) for r in simhash.midpoint_links(spark.createDataFrame([(v,) for v in values], "fp long"), radius).collect()}
+    assert all((a ^ b).bit_count() <= radius for a, b in found)
+    group = {v: v for v in values}
+    wanted = dict(group)
+    for links, of in ((found, group), ([(a, b) for a in values for b in values if (a ^ b).bit_count() <= radius], wanted)):
+        for _ in values:
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+    assert group == wanted
+
+
+def brute_fingerprint(text):
+    ws = text.split()
+    grams = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_counting_bits(spark):
+    rng = random.Random(44)
+    for n in (0, 1, 3, 4, 5, 60, 400):
+        t = words(rng, n, 30).replace("w1", "W1\u00c9")
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        assert simhash.fingerprint(t.encode()) == brute_fingerprint(low)
+
+
 def test_midpoints_join_what_is_near(spark):
     rng = random.Random(3)
     seed = rng.getrandbits(63)
@@ -193,6 +229,14 @@ def test_chain_scores():
         assert sorted(i for c in found for i in c) == list(range(12))
         for c in found:
             assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:]))
+        # the best chain's score, by trying every predecessor
+        best = []
+        for i in range(12):
+            steps = [best[j] + min(0, -chaining.GAP * (a[i] + b[i] - a[j] - b[j] - 2 * chaining.K)) for j in range(i) if a[j] < a[i] and b[j] < b[i]]
+            best.append(chaining.K + max([0.0, *steps]))
+        c = found[0]
+        score = chaining.K * len(c) - sum(max(0, chaining.GAP * (a[j] + b[j] - a[i] - b[i] - 2 * chaining.K)) for i, j in zip(c, c[1:]))
+        assert score == pytest.approx(max(best))
 
 
 # 2 --------------------------------------------------------------------------------------------------------------
@@ -285,6 +329,73 @@ def test_apportionment_takes_highest_quotients(spark):
     assert got == {i: seats[i] for i in range(6)}
 
 
+def highest(votes, seats):
+    won, heap = Counter(), [(-v, i) for i, v in enumerate(votes) if v > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i = heapq.heappop(heap)
+        won[i] += 1
+        heapq.heappush(heap, (-votes[i] / (2 * won[i] + 1), i))
+    return won
+
+
+def test_apportionment_of_many_small_rows(spark):
+    rng = random.Random(9)
+    lists = [([40.0] + [0.6] * 100, 100), ([60.0] + [0.4] * 100, 100), ([10000.0] + [0.45] * 1000, 10450), ([5.0, 5.0, 5.0], 2), ([0.0, 0.0], 3), ([1.0], 0)]
+    lists += [([rng.choice((0.0, rng.random(), 10 * rng.random() ** 4, float(rng.randrange(9)))) for _ in range(rng.randrange(1, 60))], rng.randrange(200)) for _ in range(30)]
+    df = spark.createDataFrame([(g, i, v, seats) for g, (votes, seats) in enumerate(lists) for i, v in enumerate(votes)], "g int, i int, v double, seats long")
+    got = {(r.g, r.i): r.won for r in mixing.apportion(df, "v", "seats", "g", "i", "won").collect()}
+    for g, (votes, seats) in enumerate(lists):
+        want = highest(votes, seats)
+        assert [got[g, i] for i in range(len(votes))] == [want[i] for i in range(len(votes))]
+    one = df.where("g = 1")
+    assert {r.i: r.won for r in mixing.apportion(one, "v", "seats", None, "i", "won").collect()} == {i: highest(*lists[1])[i] for i in range(101)}
+    assert mixing.apportion(one.limit(0), "v", "seats", None, "i", "won").count() == 0
+
+
+def test_targets_are_shared_again_by_weight(spark):
+    rng = random.Random(10)
+    for sizes in ([1, 1, 1], [rng.randrange(1, 10**6) for _ in range(200)], [3, 10**9] + [1] * 40, [0, 5]):
+        names = sorted(f"s{i:03}" for i in range(len(sizes)))
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")).collect()}
+        total, weight, full = sum(sizes), {n: 1 + i % 3 for i, n in enumerate(names)}, set()
+        size = dict(zip(names, sizes))
+        while True:
+            rate = (total - sum(3 * size[n] for n in full)) / max(1, sum(weight[n] for n in names if n not in full))
+            new = {n for n in names if n not in full and weight[n] * rate > 3 * size[n]}
+            if not new:
+                break
+            full |= new
+        for n in names:
+            assert got[n] == pytest.approx(3 * size[n] if n in full else weight[n] * rate, rel=1e-9)
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 10), f"s{i % 100:03}", "x") for i in range(300)] + [(1000 + i, words(rng, 500), "zz", "x") for i in range(20)]
+    plan = mixing.mix_plan(mixing.word_counts(spark.createDataFrame(rows, DOC))).collect()
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 0.2 * target[s] for s in target) and abs(sum(taken.values()) - 13000) < 300
+
+
+def test_repeated_ids_in_the_pipelines_stages(spark):
+    rng = random.Random(12)
+    rows = [(i // 3, words(rng, 20 + i), "ab"[i % 2], "x") for i in range(30)]
+    rows += [rows[4], rows[4], (None, rows[5][1], "a", "x"), (None, words(rng, 30), None, "x")]
+    d = spark.createDataFrame(rows, DOC)
+    planned = sum(r.taken for r in mixing.mix_plan(mixing.word_counts(d)).collect())
+    mixed = mixing.mix(d)
+    assert mixed.columns == d.columns and sum(len(r.text.split()) for r in mixed.collect()) == planned
+    near = rows[7][1]
+    d = spark.createDataFrame([(1, near, "a", "x"), (1, words(rng, 50), "a", "x"), (2, near, "a", "x"), (0, words(rng, 50), "a", "x"), (0, near, "a", "x"), (None, near, "a", "x")], DOC)
+    kept = simhash.near_dedup(d).collect()
+    assert sorted((r.doc_id, r.text == near) for r in kept) == [(0, False), (0, True), (1, False)]
+
+
 # 5, 6, 9 --------------------------------------------------------------------------------------------------------
 
 
@@ -333,6 +444,37 @@ def test_toxicity(spark):
     pos, neg = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
     assert auc > 0.85 and np.mean([s >= toxicity.THRESHOLD for s in neg]) < 0.05
+    caught = np.mean([s >= toxicity.THRESHOLD for s in pos])
+    print("held-out recall:", caught)
+    assert caught >= 0.7
     assert toxicity.judge(edgy(spark), model).count() == 8 and toxicity.judge(empty(spark), model).count() == 0
     none = toxicity.train(d, labels.limit(0))
     assert toxicity.judge(d.limit(5), none).count() == 5
+    again = toxicity.train(d.repartition(7), labels.repartition(3))
+    assert (again.ordinary, again.toxic, again.curve) == (model.ordinary, model.toxic, model.curve)
+    # each window's saving against plain compression with either dictionary, without memo or short cut
+    lengths = []
+    for content in (model.ordinary, model.ordinary + model.toxic):
+        known = zstandard.ZstdCompressionDict(content + toxicity.CLOSE + toxicity.HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        log = len(content).bit_length()
+        how = zstandard.ZstdCompressionParameters(window_log=log + 1, chain_log=log, hash_log=log, search_log=4, min_match=4, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known.precompute_compress(compression_params=how)
+        lengths.append(zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress)
+    plain, both = lengths
+    for r in d.orderBy("doc_id").limit(20).collect():
+        got = model.savings(r.text.encode()).tolist()
+        for w, n in zip(toxicity.words(r.text.encode()), got, strict=True):
+            block = toxicity.HEAD + b" " + w + b" " + toxicity.TAIL
+            saved = len(plain(block)) - len(both(block)) if len(w) >= toxicity.SHORT else 0
+            assert n == (saved if saved >= toxicity.LEAST else 0)
+
+
+def test_toxic_words_count_in_any_text():
+    rng = random.Random(31)
+    toxic, plain = [f"vile{x}" for x in "abcdef"], [words(rng, 60) for _ in range(300)]
+    texts = [(t.encode(), 0) for t in plain[:150]] + [(f"{t} {rng.choice(toxic)} {rng.choice(toxic)}".encode(), 1) for t in plain[150:]]
+    model = toxicity.fit(texts)
+    long = (" ".join(plain) + " ").encode()
+    assert model.score(plain[3].encode()) < toxicity.THRESHOLD <= model.score(f"{plain[4]} vilea vilec".encode())
+    assert np.count_nonzero(model.savings(long + b"VILEA")) > np.count_nonzero(model.savings(long))
+    assert toxicity.words(b"x" * 150 + b" y") == [b"x" * 64, b"x" * 64, b"x" * 22, b"y"]
