@@ -37,9 +37,9 @@ CLOSE = bytes(9) + TAIL  # no match goes on from a content into it, and none has
 HEAD = np.random.default_rng(2).integers(1, 256, 64, np.uint8).tobytes()
 #: One labelled text in so many calibrates.
 CALIBRATES = 3
-#: Savings under LEAST bytes count as none. A match costs three bytes at least, so a window that costs under
-#: LEAST + 3 bytes beyond its surroundings with the ordinary dictionary is not compressed with the other.
-LEAST = 2
+#: Savings under LEAST bytes count as none, and so do those of a window that costs under COVERED bytes beyond its
+#: surroundings with the ordinary dictionary: that one knows it, and it isn't compressed with the other.
+LEAST, COVERED = 2, 5
 #: Words whose saving a task remembers; when full it starts anew.
 MEMO = 1 << 18
 
@@ -101,8 +101,8 @@ class Lengths:
 
 
 def saving(plain: int, both: Lengths, empty: int, window: bytes) -> int:
-    """Bytes that the toxic dictionary saves of a window that has plain with the ordinary one; 0 for under LEAST."""
-    if plain - empty < LEAST + 3:
+    """Bytes that the toxic dictionary saves of a window that has plain with the ordinary one; 0 for under LEAST, or COVERED."""
+    if plain - empty < COVERED:
         return 0
     saved = plain - both.of(window)
     return saved if saved >= LEAST else 0
