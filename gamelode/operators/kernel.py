@@ -8,13 +8,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import DEFAULT, Config
 from ..functions import timex
 
-#: Reserved names, dropped property keys, disposition of each reason.
+#: Reserved names, dropped property keys, what looks personal in a text, disposition of each reason.
 TYPED = ("economy", "purchase", "session")
 PII_KEYS = ("email", "e_mail", "ip", "ip_address", "phone", "phone_number", "name", "full_name", "first_name", "last_name", "address", "street", "ssn", "password", "credit_card")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+DIGITS = r"(?:\d[ -]?){9,}"
 DISPOSITION = {"nameless": "drop", "unparseable": "drop", "rate_limited": "drop", "quarantined_typed": "quarantine", "sealed_late": "quarantine", "unknown_kind": "quarantine", "time_fallback": "quarantine"}
-OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-EMAIL, IP, DIGITS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", r"(?:[0-9][ -]?){9,}"
-
+#: Fields that a typed event is judged and told apart by: their texts are not searched for personal data.
+OWN_FIELDS = {
+    "session": ("session_id", "session_start_time", "session_end_time"),
+    "economy": ("currency_type", "reason"),
+    "purchase": ("transaction_id", "original_transaction_id", "product_id", "product_category", "purchase_attempt_id"),
+}
+
+#: Kinds of a variant that are numbers.
+NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
 ARRIVAL = ("processed_at", "server_received_time", "event_id")
 
 
@@ -27,70 +36,101 @@ def prop(key: str) -> Column:
     return F.get_json_object("props", f"$.{key}")
 
 
-def _variant(key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json("props"), f"$.{key}", "variant")
+def _field(key: str) -> Column:
+    """A property as a variant, from the fields that were parsed once a row."""
+    return F.try_element_at(F.col("fields"), F.lit(key))
 
 
 def _kind(key: str) -> Column:
-    return F.schema_of_variant(_variant(key))
+    return F.schema_of_variant(_field(key))
 
 
-def is_text(key: str) -> Column:
-    return F.coalesce((_kind(key) == "STRING") & (F.length(prop(key)) > 0), F.lit(False))
+def _text(key: str) -> Column:
+    return F.try_variant_get(_field(key), "$", "string")
 
 
-def is_number(key: str) -> Column:
-    return F.coalesce(_kind(key).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+def _number(key: str) -> Column:
+    return F.try_variant_get(_field(key), "$", "double")
+
+
+def _is_text(key: str) -> Column:
+    return F.coalesce((_kind(key) == "STRING") & (F.length(_text(key)) > 0), F.lit(False))
 
 
-def is_whole(key: str) -> Column:
-    return is_number(key) & (prop(key).cast("double") == F.floor(prop(key).cast("double")))
+def _is_number(key: str) -> Column:
+    return F.coalesce(_kind(key).rlike(NUMBER), F.lit(False))
 
 
-def is_time(key: str) -> Column:
-    return is_number(key) | (is_text(key) & F.try_to_timestamp(prop(key)).isNotNull())
+def _is_time(key: str) -> Column:
+    return _is_number(key) | (_is_text(key) & F.try_to_timestamp(_text(key)).isNotNull())
+
+
+def is_number(key: str) -> Column:
+    """Whether a property of the stored text is a number."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("props"), f"$.{key}", "variant")).rlike(NUMBER), F.lit(False))
 
 
 def valid_session() -> Column:
-    return is_text("session_id") & is_time("session_start_time") & is_time("session_end_time") & is_whole("duration_ms") & (F.coalesce(prop("duration_ms").cast("double"), F.lit(-1.0)) >= 0)
+    duration = _number("duration_ms")
+    whole = _is_number("duration_ms") & (duration == F.floor(duration)) & (duration >= 0)
+    return _is_text("session_id") & _is_time("session_start_time") & _is_time("session_end_time") & F.coalesce(whole, F.lit(False))
 
 
 def valid_economy() -> Column:
-    return F.coalesce(prop("flow_type").isin("source", "sink"), F.lit(False)) & is_text("currency_type") & is_number("amount") & (F.coalesce(prop("amount").cast("double"), F.lit(0.0)) > 0) & is_text("reason")
+    return F.coalesce(_text("flow_type").isin("source", "sink"), F.lit(False)) & _is_text("currency_type") & _is_number("amount") & F.coalesce(_number("amount") > 0, F.lit(False)) & _is_text("reason")
 
 
 def valid_purchase() -> Column:
     texts = ("transaction_id", "original_transaction_id", "product_id", "product_category", "currency")
-    server = is_number("price_local") & (_kind("verified") == "BOOLEAN") & prop("environment").isin("prod", "sandbox") & F.coalesce(is_text("user_id") | (F.length("user_id") > 0), F.lit(False))
+    server = _is_number("price_local") & F.coalesce(_kind("verified") == "BOOLEAN", F.lit(False)) & F.coalesce(_text("environment").isin("prod", "sandbox"), F.lit(False)) & F.coalesce(_is_text("user_id") | (F.length("user_id") > 0), F.lit(False))
     for t in texts:
-        server = server & is_text(t)
-    return F.coalesce(F.when(prop("source") == "server", server).when(prop("source") == "client", is_text("purchase_attempt_id")), F.lit(False))
+        server = server & _is_text(t)
+    return F.coalesce(F.when(_text("source") == "server", server).when(_text("source") == "client", _is_text("purchase_attempt_id")), F.lit(False))
 
 
-def scrub(props: Column, keys=()) -> Column:
-    """map<string, string> of a JSON object's top level without denied keys; texts that look personal are redacted."""
+def scrubbed(props: Column, kind: Column | None = None, keys=()) -> Column:
+    """map<string, variant> of a JSON object's top level without denied keys; texts that look personal are redacted, but
+    for the fields that events of this (typed) kind are judged by. Null where props is no JSON object."""
     denied = [k.lower() for k in (*PII_KEYS, *keys)]
-    m = F.from_json(props, "map<string,variant>")
-    kept = F.map_filter(m, lambda k, v: ~F.lower(k).isin(denied))
+    kept = F.map_filter(F.from_json(props, "map<string,variant>"), lambda k, v: ~F.lower(k).isin(denied))
+    own = F.lit(False)
 
-    def clean(_, v):
+    def clean(k, v):
         t = F.try_variant_get(v, "$", "string")
-        text = F.schema_of_variant(v) == "STRING"
-        return F.when(text & t.rlike(EMAIL), "[redacted:email]").when(text & t.rlike(IP), "[redacted:ip]").when(text & t.rlike(DIGITS), "[redacted:digits]").otherwise(t)
+        spared = own if kind is None else F.coalesce(F.array_contains(F.create_map(*[x for n, f in OWN_FIELDS.items() for x in (F.lit(n), F.array(*map(F.lit, f)))])[kind], k), own)
+        mark = F.when(t.rlike(EMAIL), F.lit("email")).when(t.rlike(IP), F.lit("ip")).when(t.rlike(DIGITS), F.lit("digits"))
+        return F.when((F.schema_of_variant(v) == "STRING") & ~spared & mark.isNotNull(), F.parse_json(F.concat(F.lit('"[redacted:'), mark, F.lit(']"')))).otherwise(v)
 
     return F.transform_values(kept, clean)
 
 
+def scrub(props: Column, keys=()) -> Column:
+    """The same as map<string, string>, of events without fields of their own."""
+    return F.transform_values(scrubbed(props, None, keys), lambda _, v: F.try_variant_get(v, "$", "string"))
+
+
+def _resolved() -> Column:
+    """A reserved name decides, whatever kind is declared."""
+    return F.when(F.col("name").isin(*TYPED), F.col("name")).otherwise(F.col("kind"))
+
+
+def with_fields(env: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """env with fields: the scrubbed top level of its properties, parsed once."""
+    return computed(env, fields=scrubbed(F.col("props"), _resolved(), cfg.pii_keys))
+
+
 def with_times(env: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Properties scrubbed before anything else sees them, corrected time, day and day of arrival."""
     clocks = ("client_event_time", "client_sent_time", "server_received_time")
-    out = computed(env, time_fallback=timex.fallback(*clocks, cfg), corrected_time=timex.corrected(*clocks, cfg))
+    out = with_fields(env, cfg).withColumn("props", F.to_json("fields"))
+    out = computed(out, time_fallback=timex.fallback(*clocks, cfg), corrected_time=timex.corrected(*clocks, cfg))
     return computed(out, day=timex.logical_day("corrected_time", cfg), arrival_day=timex.logical_day("server_received_time", cfg))
 
 
 def with_route(env: DataFrame) -> DataFrame:
     """resolved_kind, and reason of what is dropped or put aside so far."""
     blank = F.coalesce(F.trim("name"), F.lit("")) == ""
-    out = computed(env, resolved_kind=F.when(F.col("name").isin(*TYPED), F.col("name")).otherwise(F.col("kind")))
+    out = computed(env if "fields" in env.columns else with_fields(env), resolved_kind=_resolved())
     valid = F.when(F.col("resolved_kind") == "session", valid_session()).when(F.col("resolved_kind") == "economy", valid_economy()).when(F.col("resolved_kind") == "purchase", valid_purchase()).otherwise(F.lit(True))
     reason = F.when(blank, "nameless").when(F.coalesce(F.trim("event_id"), F.lit("")) == "", "unparseable").when(~F.col("resolved_kind").isin("generic", *TYPED), "unknown_kind").when(~valid, "quarantined_typed")
     return computed(out, early_reason=reason)
@@ -111,21 +151,37 @@ def capped(df: DataFrame, cap: int, value: str, out: str, group: list[str], coun
     return joined.withColumn(out, F.when(~counts | F.col(value).isNull() | F.col("__known"), F.col(value)).otherwise(F.lit(other))).drop(*[f"__{g}" for g in group], "__value", "__known")
 
 
-def with_window_dedup(df: DataFrame, claims: Column, cfg: Config = DEFAULT) -> DataFrame:
-    """first_in_window: whether a claiming row opens a window of its (game, event id); windows don't slide.
-
-    Rows of one id alone meet, and of them only their times, folded in order.
-    """
+def _windows(df: DataFrame, claims: Column, cfg: Config) -> DataFrame:
+    """df with __opened: the (processed, received) times at which windows of the row's (game, event id) open; null where the
+    id claims once. Rows of one id alone meet, and of them only their distinct times, folded in order."""
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))),
+        F.array_sort(F.collect_set(F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))),
         F.expr("cast(array() as array<struct<t:bigint,r:bigint>>)"),
         lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.element_at(acc, -1)["t"] >= cfg.dedup_window_ms), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    repeated = df.where(claims).groupBy("game_id", "event_id").agg(F.count(F.lit(1)).alias("n"), fold.alias("opened")).where("n > 1")
-    at = repeated.select(F.col("game_id").alias("__g"), F.col("event_id").alias("__e"), "opened")
-    out = df.join(at, claims & (F.col("game_id") == F.col("__g")) & (F.col("event_id") == F.col("__e")), "left")
-    opens = F.array_contains("opened", F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))
-    return out.withColumn("first_in_window", F.coalesce(opens, F.lit(True))).drop("__g", "__e", "opened")
+    repeated = df.where(claims).groupBy("game_id", "event_id").agg(F.count(F.lit(1)).alias("n"), fold.alias("__opened")).where("n > 1")
+    at = repeated.select(F.col("game_id").alias("__g"), F.col("event_id").alias("__e"), "__opened")
+    return df.join(at, claims & (F.col("game_id") == F.col("__g")) & (F.col("event_id") == F.col("__e")), "left").drop("__g", "__e")
+
+
+def _numbered(df: DataFrame, needs: Column, key: list[Column]) -> DataFrame:
+    """df with __nth, in order of arrival within key; only rows that need it are dealt by it, the others have 1."""
+    some = df.where(needs).withColumn("__nth", F.row_number().over(W.partitionBy(*key).orderBy(*ARRIVAL)))
+    return df.where(~needs).withColumn("__nth", F.lit(1)).unionByName(some)
+
+
+def _opens() -> Column:
+    return F.array_contains("__opened", F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))
+
+
+#: Rows of one id that arrived at the same time: the first of them opens the window.
+_TIES = ("game_id", "event_id", "processed_at", "server_received_time")
+
+
+def with_window_dedup(df: DataFrame, claims: Column, cfg: Config = DEFAULT) -> DataFrame:
+    """first_in_window: whether a claiming row opens a window of its (game, event id); windows don't slide."""
+    df = _numbered(_windows(df, claims, cfg), F.col("__opened").isNotNull(), [F.col(c) for c in _TIES])
+    return df.withColumn("first_in_window", F.coalesce(_opens() & (F.col("__nth") == 1), F.lit(True))).drop("__opened", "__nth")
 
 
 def eligible() -> Column:
@@ -134,8 +190,8 @@ def eligible() -> Column:
 
 
 def routed(env: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """env with corrected_time, day, arrival_day, time_fallback, resolved_kind, bucket_name, seal, money, reason,
-    disposition and counted (routed, and not a repeat)."""
+    """env with its properties scrubbed, and corrected_time, day, arrival_day, time_fallback, resolved_kind, bucket_name,
+    seal, money, reason, disposition and counted (routed, and not a repeat)."""
     df = with_route(with_times(env, cfg))
     df = capped(df, cfg.name_cap, "name", "bucket_name", ["game_id"], F.col("early_reason").isNull() & (F.col("resolved_kind") == "generic"))
     df = computed(df, seal=timex.seal_state("day", "processed_at", cfg))
@@ -144,12 +200,12 @@ def routed(env: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     open_ = F.col("reason").isNull()
     server = F.coalesce((F.col("resolved_kind") == "purchase") & (prop("source") == "server"), F.lit(False))
     df = computed(df, disposition=disposition, money=eligible() & open_, __claims=open_ & ~server)
-    df = with_window_dedup(df, F.col("__claims"), cfg)
-    first = F.row_number().over(W.partitionBy("__tx").orderBy(*ARRIVAL)) == 1
-    tx = F.when(F.col("money"), prop("transaction_id"))
-    money = df.where("money").withColumn("__tx", tx).withColumn("__first", first).drop("__tx")  # only money is dealt by transaction
-    df = df.where("NOT money").withColumn("__first", F.lit(True)).unionByName(money)
-    return df.withColumn("counted", open_ & F.col("first_in_window") & F.col("__first")).drop("__first", "__claims", "early_reason", "first_in_window")
+    df = _windows(df, F.col("__claims"), cfg)
+    # money is told apart by its transaction, repeats by their times: one pass over these rows alone
+    ties = [F.when(~F.col("money"), F.col(c)) for c in _TIES]
+    df = _numbered(df, F.col("money") | F.col("__opened").isNotNull(), [F.when(F.col("money"), prop("transaction_id")), *ties])
+    counted = open_ & (F.col("__nth") == 1) & F.coalesce(_opens(), F.lit(True))
+    return df.withColumn("counted", counted).drop("__nth", "__opened", "__claims", "early_reason", "fields")
 
 
 def exception_tally(r: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ def day(ms: str, offset: int = 0) -> str:
 
 
 ENV = f"env AS (SELECT * FROM ({ADAPTER.format(ms=DUCK_MS)}))"
+#: The adapter's personal properties, without the denied key and redacted. Typed events have none.
+SCRUBBED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, ',"Email":"[^"]*"', ''), '"note":"[^"]*@[^"]*"', '"note":"[redacted:email]"'), '"from":"10\.0\.0\.[0-9]+"', '"from":"[redacted:ip]"'), '"ref":"[0-9]{9,}"', '"ref":"[redacted:digits]"')"""
 TIMES = f"""{ENV},
-skewed AS (SELECT *, least(client_event_time + CASE WHEN abs(server_received_time - client_sent_time) > 60000 THEN server_received_time - client_sent_time ELSE 0 END, server_received_time) AS c0 FROM env),
+skewed AS (SELECT * REPLACE ({SCRUBBED} AS props), least(client_event_time + CASE WHEN abs(server_received_time - client_sent_time) > 60000 THEN server_received_time - client_sent_time ELSE 0 END, server_received_time) AS c0 FROM env),
 timed AS (SELECT *, server_received_time - c0 > 93600000 AS time_fallback, CASE WHEN server_received_time - c0 > 93600000 THEN server_received_time ELSE c0 END AS corrected_time FROM skewed)"""
 ROUTED = f"""{TIMES},
 kinds AS (SELECT *, {day("corrected_time")} AS day, {day("server_received_time")} AS arrival_day,

@@ -133,6 +133,13 @@ def _(t):
     return t.env.where("kind = 'generic'").select("event_id", "processed_at", F.explode(K.scrub(F.col("props"))).alias("key", "value"))
 
 
+@query("q_stored_properties", f"""WITH {O.ROUTED}, kv AS (SELECT bucket_name, unnest(json_keys(props)) AS key, props FROM counted)
+SELECT bucket_name, key, CASE WHEN starts_with(json_extract_string(props, '$.' || key), '[redacted') THEN json_extract_string(props, '$.' || key) END AS redacted, {n('count(*)', 'n')} FROM kv GROUP BY 1, 2, 3""")
+def _(t):
+    each = t.counted.select("bucket_name", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return each.groupBy("bucket_name", "key", F.when(F.col("value").startswith("[redacted"), F.col("value")).alias("redacted")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q_skew", f"WITH {O.TIMES} SELECT event_id, processed_at, corrected_time, time_fallback FROM timed")
 def _(t):
     return K.with_times(t.env).select("event_id", "processed_at", "corrected_time", "time_fallback")

@@ -70,7 +70,9 @@ enr AS (
 attempts AS (
   SELECT *, CAST(0 AS BIGINT) AS resend_lag FROM enr
   UNION ALL
-  SELECT *, CAST(CASE WHEN eid % 100 = 0 THEN 3600000 ELSE 90000000 END AS BIGINT) AS resend_lag FROM enr WHERE eid % 50 = 0),
+  SELECT *, CAST(CASE WHEN eid % 100 = 0 THEN 3600000 ELSE 90000000 END AS BIGINT) AS resend_lag FROM enr WHERE eid % 50 = 0
+  UNION ALL
+  SELECT *, CAST(0 AS BIGINT) AS resend_lag FROM enr WHERE eid % 125 = 0),
 clocks AS (
   SELECT *, t + clock_err AS client_event_time, t + clock_err + send_lag + resend_lag AS client_sent_time,
     t + send_lag + resend_lag AS server_received_time, t + send_lag + resend_lag + queue_lag AS processed_at,

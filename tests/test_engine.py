@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,30 @@ def test_dedup_window_does_not_slide(spark):
     assert sorted(r[0] // H for r in got) == [0, 25, 50]
 
 
+def test_equal_repeats_count_once(spark):
+    """Rows of one id with equal times, as in a batch that was sent twice."""
+    rows = [("g", "e", 5 * H, 5 * H)] * 3 + [("g", "e", 29 * H, 29 * H)] * 2 + [("g", "f", 5 * H, 5 * H)]
+    df = spark.createDataFrame(rows, "game_id string, event_id string, processed_at long, server_received_time long")
+    got = kernel.with_window_dedup(df, F.lit(True)).where("first_in_window").select("event_id", "processed_at").collect()
+    assert sorted((r[0], r[1] // H) for r in got) == [("e", 5), ("e", 29), ("f", 5)]
+
+
+def test_nothing_personal_is_routed(spark):
+    t = 1_704_100_000_000
+    events = [
+        ("generic", '{"Email":"x","note":"me@x.org","n":5}'),
+        ("purchase", '{"source":"server","transaction_id":"1234567890123456","original_transaction_id":"1-2-3-4-5-6-7-8-9","product_id":"p","product_category":"c","price_local":1.5,"currency":"USD","verified":true,"environment":"prod","phone":"1","memo":"call 1.2.3.4"}'),
+        ("generic", "no json"),
+    ]
+    rows = [("g", "server", t, t, "u", f"e{i}", k, k, t, t, p) for i, (k, p) in enumerate(events)]
+    env = spark.createDataFrame(rows, "game_id string, provenance string, server_received_time long, processed_at long, user_id string, event_id string, name string, kind string, client_event_time long, client_sent_time long, props string")
+    got = {r.event_id: r for r in kernel.routed(env).collect()}
+    assert json.loads(got["e0"].props) == {"note": "[redacted:email]", "n": 5}
+    props = json.loads(got["e1"].props)
+    assert props["transaction_id"] == "1234567890123456" and props["memo"] == "[redacted:ip]" and "phone" not in props and got["e1"].counted and got["e1"].money
+    assert got["e2"].props is None and "fields" not in env.columns
+
+
 def test_scrub(spark):
     df = spark.createDataFrame([('{"EMAIL":"x","a":"me@x.org","b":"1.2.3.4","c":"12 345 678 90","d":"ok","e":123456789012}',)], "props string")
     got = df.select(kernel.scrub(F.col("props")).alias("m")).first().m
