@@ -100,6 +100,19 @@ def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids (column id), and a few others: a bit array of bounded size goes to the scan."""
+    bits = filter_bits(ids.count(), 16)
+    sent = rows.sparkSession.sparkContext.broadcast(bit_array(ids.select(F.xxhash64("id").bitwiseAND(bits - 1).alias("slot")), bits))
+    n = len(rows.columns)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_filter(sent.value, b.column(n).to_numpy()))).select(list(range(n)))
+
+    return arrow_map(rows.withColumn("__among", F.xxhash64(key).bitwiseAND(bits - 1)), run, rows.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b), both long: rows (node, root), root the smallest node.
 

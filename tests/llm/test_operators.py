@@ -258,6 +258,30 @@ def test_top_k(spark):
     assert va_file.top_k(d.limit(0), d).count() == 0
 
 
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(9)
+    v = np.floor(rng.normal(size=(2000, 16)) * 256)
+    lo, hi = v.min(axis=0), v.max(axis=0)
+    width = (hi - lo) / (1 << va_file.BITS)
+    cells = np.minimum((v - lo) / width, (1 << va_file.BITS) - 1).astype(np.uint8)
+    guess, margin = va_file.bounds(v[:50], cells, lo, hi)
+    assert (np.abs(v[:50] @ v.T - guess) <= margin[:, None]).all()
+    d = spark.createDataFrame([(i, [float(x / 256) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = va_file.usable(d)
+    span = va_file.ranges(rows)
+    sent = spark.sparkContext.broadcast((np.arange(50), v[:50], *span[16]))
+    left = va_file._kept([(va_file.scan(va_file.written(rows, span), sent, 5).withColumn("dim", F.lit(16)), sent)], 5).collect()
+    best = {(q, int(c)) for q in range(50) for c in sorted(set(range(2000)) - {q}, key=lambda c: (-(v[q] @ v[c]), c))[:5]}
+    assert best <= {(r.query_id, r.vec_id) for r in left} and len(left) < 50 * 60
+
+
+def test_top_k_of_odd_vectors(spark):
+    d = spark.createDataFrame([(50, []), (3, []), (100, [1.0]), (100, [2.0]), (4, [3.0]), (4, [3.0]), (None, [9.0]), (150, [1.0, 2.0]), (150, [0.5])], "vec_id int, embedding array<float>")
+    got = sorted(tuple(r) for r in va_file.top_k(d, d.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    one = 256 * 256
+    assert got == [(50, 1, 3, 0), (100, 1, 4, 3 * one), (100, 2, 4, 3 * one), (100, 3, 150, one // 2), (150, 1, 4, 3 * one // 2), (150, 2, 4, 3 * one // 2), (150, 3, 100, one), (150, 4, 100, one // 2)]
+
+
 # 3 --------------------------------------------------------------------------------------------------------------
 
 
