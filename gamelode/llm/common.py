@@ -95,6 +95,63 @@ def bit_array(slots: DataFrame, n_bits: int) -> np.ndarray:
     return out
 
 
+#: Packed hashes come together in groups of about so many.
+GROUP = 1 << 22
+PACKED = "group long, packed binary"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as the byte planes of their differences, which compress well."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def group_bits(partitions: int, total: int) -> int:
+    """First bits of a hash that name its group, for some total of hashes."""
+    return min(30, max(4 * partitions, -(-total // GROUP)).bit_length())
+
+
+def packed(hashes: np.ndarray, bits: int, cut: bool = False) -> pa.RecordBatch:
+    """(group, packed): the first `bits` bits of 62-bit hashes and the 32 bits after them (cut: these alone are given),
+    each hash that occurs more often twice."""
+    if not cut:
+        hashes = (hashes >> hashes.dtype.type(30 - bits)).astype(np.int64)
+    found, n = np.unique(hashes, return_counts=True)
+    found = np.repeat(found, np.minimum(n, 2))
+    group = found >> 32
+    edges = np.flatnonzero(np.diff(group)) + 1
+    first = np.concatenate([[0], edges]) if len(found) else edges
+    parts = [pack(x) for x in np.split((found & 0xFFFFFFFF).astype(np.uint32), edges)] if len(found) else []
+    return pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(parts, pa.binary())], names=["group", "packed"])
+
+
+def repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The hashes (their first bits, as packed has them) that occur twice at least in rows of packed."""
+
+    def run(batches):
+        held, of = [], None
+
+        def out():
+            x = np.sort(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(x[1:][x[1:] == x[:-1]]).astype(np.int64) | of << 32)], names=[name])
+
+        for b in batches:
+            for group, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if group != of:
+                    if held:
+                        yield out()
+                    held, of = [], group
+                held.append(unpack(part))
+        if held:
+            yield out()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_map(rows.repartition(n, "group").sortWithinPartitions("group"), run, f"{name} long")
+
+
 def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     slots = slots.astype(np.int64, copy=False)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

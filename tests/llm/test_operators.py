@@ -179,15 +179,15 @@ def brute_suffix(rows, width):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_suffixes(spark, most):
+@pytest.mark.parametrize("hot", [128, 2])
+def test_suffixes(spark, hot):
     rng = random.Random(4)
     shared = [words(rng, 30) for _ in range(4)]
     texts = [None, "", "ab" * 90, "short"] + [words(rng, rng.randrange(40)) + rng.choice(shared)[rng.randrange(20) :] + words(rng, rng.randrange(30)) for _ in range(60)]
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     for width, anchor in ((40, 20), (200, 100)):
         d = docs(spark, texts)
-        got = suffix_dedup.dedup(d, width=width, anchor=anchor, most=most).select(*cols)
+        got = suffix_dedup.dedup(d, width=width, anchor=anchor, hot=hot).select(*cols)
         assert Counter(tuple(r) for r in got.collect()) == brute_suffix(d.collect(), width)
     e = edgy(spark).where("doc_id <> 5 OR doc_id IS NULL").unionByName(spark.createDataFrame([(7, "é" * 300, None, "y")], DOC.replace("extra", "slot")))
     assert Counter(tuple(r) for r in suffix_dedup.dedup(e).select(*cols).collect()) == brute_suffix(e.collect(), 200)
