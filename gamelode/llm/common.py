@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -37,6 +38,19 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int):
+    """Parts of a batch whose texts have `most` bytes together or are a single one."""
+    at, size = 0, 0
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    for i, n in enumerate(sizes):
+        if i > at and size + n > most:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null counts as empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
@@ -77,14 +91,6 @@ def filter_bits(n_keys: int, per_key: int = BITS_PER_KEY, most: int = MAX_BITS)
     return min(most, max(MIN_BITS, 1 << max(0, n_keys * per_key - 1).bit_length()))
 
 
-def repeated_slots(slots: DataFrame) -> DataFrame:
-    """Bitmaps (bucket, bits) of the slots (column slot) that occur at least twice."""
-    twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return twice.groupBy(F.bitmap_bucket_number(F.col("slot")).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot"))).alias("bits")
-    )
-
-
 def bit_array(slots: DataFrame, n_bits: int) -> np.ndarray:
     """A bit for each slot (column slot, below n_bits) on the driver: n_bits / 8 bytes, MAX_BITS / 8 at most."""
     at = F.col("slot") + 1  # bitmap functions count from 1

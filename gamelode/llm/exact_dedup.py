@@ -2,8 +2,9 @@
 
 Pass one hashes every text to a few slots of a bit array and keeps the slots that were set twice. Pass two tests
 every row against that array: a row with a slot set once only is unique and passes straight through, and only the
-others (repeated ones and a few false alarms) shuffle. The array has a fixed greatest size, so it can be broadcast;
-when it fills up, more rows shuffle and the result stays the same.
+others (repeated ones and a few false alarms) shuffle. An array of MOST_BITS, which is broadcast, serves MOST_BITS /
+BITS_PER_ROW texts; where there are more, their hashes are cut into ranges with an array each, one after the other, so that the
+share of false alarms stays the same. Pass one shuffles slots, map-side combined: a few bytes a text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SLOTS, BITS_PER_ROW, MOST_BITS = 2, 16, 1 << 28
+SLOTS, BITS_PER_ROW, MOST_BITS = 2, 16, 1 << 30
 
 
 def normalised(text: Column) -> Column:
@@ -30,23 +31,37 @@ def _slot(key: Column, i: int, n_bits: int) -> Column:
     return F.xxhash64(key, F.lit(i)).bitwiseAND(n_bits - 1)
 
 
-def possibly_repeated(rows: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
-    """rows with __maybe: false where the key certainly occurs once in keys (rows, if None)."""
-    keys = rows if keys is None else keys
-    n_bits = common.filter_bits(keys.count(), BITS_PER_ROW, MOST_BITS)
-    slots = keys.select(F.explode(F.array(*[_slot(F.col(key), i, n_bits) for i in range(SLOTS)])).alias("slot"))
-    bitmaps = common.saved(common.repeated_slots(slots))  # at most MOST_BITS/8 bytes: 32 MiB
+def _tested(rows: DataFrame, slots: list[Column], bitmaps: DataFrame) -> DataFrame:
+    """rows with __maybe: whether all slots are set in bitmaps (bucket, bits), which are broadcast."""
     maybe = F.lit(True)
-    for i in range(SLOTS):
+    for i, slot in enumerate(slots):
         bucket, bits = f"__bucket{i}", f"__bits{i}"
-        slot = _slot(F.col(key), i, n_bits)
         rows = rows.withColumn(bucket, F.bitmap_bucket_number(slot)).join(
             F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))), bucket, "left"
         )
         position = F.bitmap_bit_position(slot)
         byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         maybe = maybe & F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), position % 8)), F.lit(2)) == 1, F.lit(False))
-    return rows.withColumn("__maybe", maybe).drop(*[f"__{x}{i}" for x in ("bucket", "bits") for i in range(SLOTS)])
+    return rows.withColumn("__maybe", maybe).drop(*[f"__{x}{i}" for x in ("bucket", "bits") for i in range(len(slots))])
+
+
+def possibly_repeated(rows: DataFrame, key: str) -> DataFrame:
+    """rows with __maybe: false where the key certainly occurs once."""
+    n = rows.count()
+    ranges = max(1, -(-n * BITS_PER_ROW // MOST_BITS))
+    n_bits = common.filter_bits(-(-n // ranges), BITS_PER_ROW, MOST_BITS)
+    slots = [_slot(F.col(key), i, n_bits) for i in range(SLOTS)]
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(SLOTS)), F.lit(ranges)).cast("int")
+    twice = rows.select(part.alias("part"), F.explode(F.array(*slots)).alias("slot")).groupBy("part", "slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    bitmaps = twice.groupBy("part", F.bitmap_bucket_number(F.col("slot")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot"))).alias("bits"))
+    bitmaps = common.saved(bitmaps)  # of one part at most MOST_BITS / 8 bytes
+    if ranges == 1:
+        return _tested(rows, slots, bitmaps)
+    out = None
+    for i in range(ranges):
+        some = _tested(rows.where(part == i), slots, bitmaps.where(F.col("part") == i))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -72,15 +87,19 @@ def _grouped(tested: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, all columns: rows with a unique text pass straight through, the rest are matched with
-    the staying ids. Nulls, ties and empty tables as in exact_groups."""
+    """The rows of docs that stay, all columns. Rows that are surely none of those that go pass straight through, the
+    rest are matched with them. Nulls, ties and empty tables as in exact_groups; names that begin with __ are taken."""
     sha = "__exact_sha256"
-    keys = common.saved(docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias(sha)))
-    tested = possibly_repeated(docs.withColumn(sha, digest(F.col(text))), sha, keys)
-    groups = possibly_repeated(keys, sha).where("__maybe").groupBy(sha).agg(F.max("doc_id").alias("__exact_keep"))
-    groups = groups.withColumnRenamed(sha, "__exact_of")
-    match = (F.col(sha) == F.col("__exact_of")) & F.col(doc_id).eqNullSafe(F.col("__exact_keep"))
-    stays = tested.where("__maybe").join(groups, match, "left_semi")
+    groups = exact_groups(docs, text, doc_id)
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("__exact_id"), F.col("text_sha256").alias("__exact_of")).distinct()
+    gone = common.saved(gone)
+    n_bits = common.filter_bits(gone.count(), BITS_PER_ROW, MOST_BITS)
+    of = lambda id_, sha_: F.xxhash64(sha_, id_).bitwiseAND(n_bits - 1)
+    slot = of(F.col("__exact_id"), F.col("__exact_of"))
+    bitmaps = gone.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    tested = _tested(docs.withColumn(sha, digest(F.col(text))), [of(F.col(doc_id), F.col(sha))], common.saved(bitmaps))
+    match = (F.col(sha) == F.col("__exact_of")) & F.col(doc_id).eqNullSafe(F.col("__exact_id"))
+    stays = tested.where("__maybe").join(gone, match, "left_anti")
     return tested.where("NOT __maybe").unionByName(stays).select(*docs.columns)
 
 

@@ -11,12 +11,14 @@ candidates popped there has these pieces, and only the others are encoded one by
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
@@ -26,8 +28,8 @@ SPACE, NONE = "▁", np.int32(2**31 - 1)
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 #: Chunks up to this many characters are encoded side by side, the others one at a time on a heap.
 WIDEST = 48
-#: Occurrences of chunks that are held against the dropout rate at a time.
-SLICE = 1 << 18
+#: Spans that are held against the dropout rate at a time; symbols that are merged side by side; bytes of texts encoded at a time.
+SPANS, SYMBOLS, SLICE = 1 << 17, 1 << 17, 1 << 20
 
 
 def default_model() -> str:
@@ -110,6 +112,12 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
+def shipped(spark: SparkSession, model: str) -> str:
+    """The name under which executors find the driver's model file."""
+    spark.sparkContext.addFile(model)
+    return os.path.basename(model)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -241,8 +249,8 @@ def encode_chunks(p: Pieces, chunks: list[str], keys: np.ndarray, rate: float, p
     for width in (1, 4, 7, 9, 11, 14, 20, 32, WIDEST):
         who = np.flatnonzero((lens > lower) & (lens <= width))
         lower = width
-        for part in range(0, len(who), 1 << 15):
-            rows = who[part : part + (1 << 15)]
+        for part in range(0, len(who), SYMBOLS // width):
+            rows = who[part : part + SYMBOLS // width]
             cols = np.arange(width)
             inside = cols < lens[rows][:, None]
             pts = points[np.minimum(starts[rows][:, None] + cols, len(points) - 1)]
@@ -299,8 +307,10 @@ def encode_batch(p: Pieces, texts: list[str], ids: list, rate: float = DROPOUT,
         at = np.cumsum(spans) - spans
         long = np.fromiter((len(w) > WIDEST for w in words), bool, len(words))
         varied, size = [flat], len(flat)
-        for lo in range(0, len(index), SLICE):
-            w, key = index[lo : lo + SLICE], keys[lo : lo + SLICE]
+        many = np.cumsum(spans[index])
+        edges = [0, *(np.searchsorted(many, np.arange(SPANS, many[-1], SPANS)) + 1).tolist(), len(index)]
+        for lo, hi in zip(edges, edges[1:]):
+            w, key = index[lo:hi], keys[lo:hi]
             k = spans[w]
             who = np.repeat(np.arange(len(w)), k)
             span = at[w][who] + np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k)
@@ -321,15 +331,14 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
     """doc_id, pieces (array of int), n_pieces, lossless (whether decoding the pieces gives the text again).
 
     Null and empty texts have no pieces; decoding gives the empty text. Repeated rows give equal rows. model is the
-    path of a SentencePiece BPE model with byte pieces, readable on every executor.
+    path, on the driver, of a SentencePiece BPE model with byte pieces.
     """
-    model = model or default_model()
+    model = shipped(docs.sparkSession, model or default_model())
 
     def run(batches):
-        p = pieces(model)
+        p = pieces(SparkFiles.get(model))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in common.slices(batch, 1, SLICE):
                 texts = part.column(1).fill_null("").to_pylist()
                 flat, n = encode_batch(p, texts, part.column(0).to_pylist(), rate, seed)
                 ids, ends = flat.tolist(), np.cumsum(n).tolist()
@@ -342,10 +351,10 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
 
 def decode(encoded: DataFrame, pieces_column: str = "pieces", doc_id: str = "doc_id", model: str | None = None) -> DataFrame:
     """doc_id and text of encode's rows; null pieces give an empty text."""
-    model = model or default_model()
+    model = shipped(encoded.sparkSession, model or default_model())
 
     def run(batches):
-        p = pieces(model)
+        p = pieces(SparkFiles.get(model))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
