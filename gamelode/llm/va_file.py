@@ -22,6 +22,8 @@ from . import common
 SCALE, BITS, K = 256, 6, 5
 #: Queries of a block at most, and the bytes of their vectors; candidates looked at together.
 QUERY_BLOCK, BLOCK_BYTES, STEP = 4096, 1 << 25, 4096
+#: Exact vectors that one task reads for a query: one near very many like vectors has several tasks.
+SHARE = 256
 #: Blocks whose scans go into one written table.
 BLOCKS_AT_ONCE = 8
 
@@ -108,16 +110,17 @@ def scan(cells: DataFrame, sent, k: int) -> DataFrame:
 
 
 def _read(k: int):
-    """Over (query_id, dim, q, vec_id, most, v) sorted by query, length and descending bound: the k best of each query."""
+    """Over (query_id, dim, share, q, vec_id, most, v) sorted by query, length, share and descending bound: the k best of each
+    share."""
 
     def run(batches):
         of, best = None, []
         out: list = []
         for b in batches:
-            for query, dim, q, vec, most, v in zip(*[c.to_pylist() for c in b.columns]):
-                if (query, dim) != of:
+            for query, dim, share, q, vec, most, v in zip(*[c.to_pylist() for c in b.columns]):
+                if (query, dim, share) != of:
                     out += [(of[0], n + 1, i, -s) for n, (s, i) in enumerate(best)]
-                    of, best, vector = (query, dim), [], np.array(q)
+                    of, best, vector = (query, dim, share), [], np.array(q)
                 if len(best) == k and most < -best[-1][0]:
                     continue  # nor can any later one enter
                 best = sorted([*best, (-int(vector @ np.array(v)), vec)])[:k]
@@ -163,15 +166,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", vec
     ids = pairs.select(F.col("vec_id").alias("id")).distinct()
     exact = common.among(rows.select("vec_id", "dim", "v"), "vec_id", ids)
     both = pairs.join(exact, ["vec_id", "dim"]).join(asked.select(F.col("vec_id").alias("query_id"), "dim", F.col("v").alias("q")), ["query_id", "dim"])
-    dealt = both.select("query_id", "dim", "q", "vec_id", "most", "v").repartition(n, "query_id", "dim").sortWithinPartitions("query_id", "dim", F.desc("most"), "vec_id")
+    dealt = both.select("query_id", "dim", "share", "q", "vec_id", "most", "v").repartition(n, "query_id", "dim", "share").sortWithinPartitions("query_id", "dim", "share", F.desc("most"), "vec_id")
     found = common.arrow_map(dealt, _read(k), "query_id long, rank int, vec_id long, score long")
-    # an id may stand for queries of several lengths
+    # over a query's shares; and an id may stand for queries of several lengths
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _kept(parts: list, k: int) -> DataFrame:
-    """query_id, dim, vec_id, most of the scans' candidates that may be among a query's k best of all tasks; written."""
+    """query_id, dim, vec_id, most, share of the scans' candidates that may be among a query's k best of all tasks; written."""
     found = parts[0][0]
     for p, _ in parts[1:]:
         found = found.unionByName(p)
@@ -181,7 +184,9 @@ def _kept(parts: list, k: int) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("query_id", "dim").orderBy(F.desc("least")))
     sure = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id", "dim").agg(F.min("least").alias("sure"), F.count(F.lit(1)).alias("n"))
     left = found.join(sure, ["query_id", "dim"]).where((F.col("n") < k) | (F.col("most") >= F.col("sure")))
-    return common.saved(left.groupBy("query_id", "dim", "vec_id").agg(F.max("most").alias("most")))
+    left = common.saved(left.groupBy("query_id", "dim", "vec_id").agg(F.max("most").alias("most")))
+    shares = left.groupBy("query_id", "dim").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    return left.join(shares, ["query_id", "dim"]).withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares"))).drop("shares")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,20 @@ def test_stages(spark):
     assert all(len(v) <= 3 for v in text.values())
     five = stages["piece encoding"](spark, four, SF)
     assert five.count() == four.count() and five.where("NOT lossless").count() == 0
+
+
+def test_odd_tables(spark):
+    """Nulls, empty and repeated rows, repeated ids, columns that clash with inner names, no rows at all."""
+    text = " ".join(f"word{i % 37} of the" for i in range(60))
+    rows = [(1, text, "en", "a", 9, "x"), (1, text, "en", "a", 9, "x"), (1, text + " more", "en", "a", 9, "x"), (2, None, None, None, None, "x"), (3, "", "en", "", 0, None), (None, text.upper(), "en", "b", 1, "x"), (4, "the end", "en", "b", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    for d in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, d = d, stage(spark, d, SF)
+            if name != "piece encoding":
+                assert d.columns == before.columns
+        out = d.collect()
+        assert all(r.lossless for r in out)
+    assert out == []
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()}
+    assert kept == {1, 3, 4}  # of null and empty the larger id, of equal texts the one with an id
