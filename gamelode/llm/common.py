@@ -68,8 +68,7 @@ def ranked(df: DataFrame, name: str, *order) -> DataFrame:
     Rows are range-partitioned and numbered per partition; only one count per partition reaches the driver.
     """
     part, at = f"__{name}_part", f"__{name}_at"
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    dealt = saved(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))  # as many partitions as the rows need
     counts = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}
     before, offsets = 0, []
     for p in sorted(counts):

@@ -41,7 +41,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> Data
     lies between the last two: then it is known exactly."""
     at = common.ranked(sources, "rank", F.col("source").isNull(), F.encode("source", "UTF-8"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    at = common.saved(at.withColumn("weight", weight))
+    at = at.withColumn("weight", weight)
     most = F.lit(float(repeats)) * F.col("source_size")
     full = most / F.col("weight")
     total, lo, hi = at.agg(F.sum("source_size"), F.lit(0.0), F.max(full)).first()
@@ -110,7 +110,7 @@ def mix_plan(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block: i
     whole, least = sources.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     block = max(1, min(block, int((least or 0) / parts)))
     named = sources.withColumn("blocks", F.lit(int((whole or 0.0) / block + 0.5)))
-    quotas = common.saved(apportion(named, "target", "blocks", None, "rank", "quota").drop("blocks", "weight"))
+    quotas = apportion(named, "target", "blocks", None, "rank", "quota").drop("blocks", "weight")
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     # the sources are joined by source and by the hash's low bits: the large side may then be split at a hot source
     salt = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(16))
