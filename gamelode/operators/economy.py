@@ -60,8 +60,17 @@ def balances(f: DataFrame) -> DataFrame:
 
 
 def money_supply(b: DataFrame) -> DataFrame:
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY balance)").cast("long")
-    return b.groupBy("game_id", "currency").agg(F.sum("balance").alias("money_supply"), F.count(F.lit(1)).alias("n_users"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.coalesce(F.sum(F.when(F.col("provenance") == "server", F.col("balance"))), F.lit(0)).alias("trusted_supply"))
+    """Supply, holders, nearest-rank p50 and p90 and what servers vouch for, by game and currency.
+
+    Holders are counted by balance first, so that percentiles are read off running counts of distinct balances."""
+    keys = ["game_id", "currency"]
+    at = b.groupBy(*keys, "balance").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("provenance") == "server", 1)).alias("trusted"))
+    w = W.partitionBy(*keys).orderBy("balance")
+    at = at.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    total = at.groupBy(*keys).agg(F.sum(F.col("n") * F.col("balance")).alias("money_supply"), F.sum("n").alias("n_users"), F.sum(F.col("trusted") * F.col("balance")).alias("trusted_supply"))
+    p = lambda x: F.min(F.when(F.col("upto") >= F.ceil(F.col("n_users") * x / 100), F.col("balance")))
+    ranks = at.join(total, keys).groupBy(*keys).agg(p(50).alias("p50"), p(90).alias("p90"))
+    return total.join(ranks, keys).select(*keys, "money_supply", "n_users", "p50", "p90", "trusted_supply")
 
 
 def supply_trend(f: DataFrame) -> DataFrame:

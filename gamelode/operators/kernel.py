@@ -3,6 +3,7 @@ validate, cap, seal, dedup. Rollups are queries over what routed() returns."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT, Config
@@ -213,23 +214,38 @@ def exception_tally(r: DataFrame) -> DataFrame:
 
 
 def clock_regression(env: DataFrame) -> DataFrame:
-    """Events received before the high-water mark of those that arrived earlier, by game and day of processing."""
-    w = W.partitionBy("game_id", timex.logical_day("processed_at")).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, -1)
-    return env.withColumn("high", F.max("server_received_time").over(w)).where("server_received_time < high")
+    """Events received before the high-water mark (`high`) of those of their game that were processed earlier.
+
+    The mark is worked out by hour of processing first, over one row an hour, and within an hour from there on."""
+    hour = F.floor(F.col("processed_at") / 3_600_000)
+    df = env.withColumn("__hour", hour)
+    top = df.groupBy("game_id", "__hour").agg(F.max("server_received_time").alias("__top"))
+    earlier = top.select("game_id", "__hour", F.max("__top").over(W.partitionBy("game_id").orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)).alias("__high"))
+    w = W.partitionBy("game_id", "__hour").orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, -1)
+    own = df.withColumn("__own", F.max("server_received_time").over(w)).join(earlier, ["game_id", "__hour"])
+    return own.withColumn("high", F.greatest("__own", "__high")).where("server_received_time < high").drop("__hour", "__own", "__high")
 
 
 def rate_limited(batches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """batches (game_id, at ms, n) with admitted: a token bucket a game, all of a batch or nothing; cost min(n, burst).
 
-    A game's batches are folded in order, which the bucket's state asks for; a batch is a few numbers.
+    A batch's verdict hangs on all earlier ones of its game, so each game's are folded in order; the state is two
+    numbers, and rows stream past it: nothing of a game is gathered.
     """
-    rows = F.array_sort(F.collect_list(F.struct("at", "n")))
-    start = F.struct(F.lit(float(cfg.rate_burst)).alias("tokens"), F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<struct<at:bigint,n:bigint,admitted:boolean>>)").alias("out"))
-
-    def step(acc, x):
-        full = F.least(F.lit(float(cfg.rate_burst)), acc["tokens"] + F.coalesce(x["at"] - acc["last"], F.lit(0).cast("long")) * (cfg.rate_per_s / 1000))
-        cost = F.least(x["n"].cast("double"), F.lit(float(cfg.rate_burst)))
-        ok = full >= cost
-        return F.struct(F.when(ok, full - cost).otherwise(full).alias("tokens"), x["at"].alias("last"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), x["n"].alias("n"), ok.alias("admitted")))).alias("out"))
-
-    return batches.groupBy("game_id").agg(F.aggregate(rows, start, step)["out"].alias("o")).select("game_id", F.explode("o").alias("o")).select("game_id", "o.*")
+    burst, per_ms = float(cfg.rate_burst), cfg.rate_per_s / 1000
+
+    def run(rows):
+        game, tokens, last = None, burst, 0
+        for b in rows:
+            admitted = []
+            for g, at, n in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                if g != game:
+                    game, tokens, last = g, burst, at
+                tokens, last = min(burst, tokens + (at - last) * per_ms), at
+                cost = min(float(n), burst)
+                admitted.append(tokens >= cost)
+                tokens -= cost if admitted[-1] else 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(admitted, pa.bool_())], names=["game_id", "at", "n", "admitted"])
+
+    dealt = batches.select("game_id", F.col("at").cast("long"), F.col("n").cast("long")).repartition("game_id").sortWithinPartitions("game_id", "at", "n")
+    return dealt.mapInArrow(run, "game_id string, at long, n long, admitted boolean")

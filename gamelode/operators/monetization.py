@@ -117,16 +117,23 @@ def context_coverage(e: DataFrame) -> DataFrame:
 def active_users(act: DataFrame) -> DataFrame:
     """DAU, WAU, MAU and stickiness by day; trailing windows not yet full are null. act: distinct (game, day, user).
 
-    Each activity is laid out on the days it counts for, then distinct users are counted with map-side sets.
+    An activity makes its user count from its day on until the window ends or the next activity takes over: one more on
+    the first of these days, one less on the day after the last. Running sums of the changes by day are the counts.
     """
+    after = F.lead("day").over(W.partitionBy("game_id", "user_id").orderBy("day"))
+    own = act.withColumn("next", after)
+    moves = []
+    for n, c in ((1, "dau"), (7, "wau"), (30, "mau")):
+        moves += [F.struct(F.col("day").alias("on"), F.lit(c).alias("c"), F.lit(1).alias("k")), F.struct(F.least(F.date_add("day", n), "next").alias("on"), F.lit(c).alias("c"), F.lit(-1).alias("k"))]
+    change = own.select("game_id", F.explode(F.array(*moves)).alias("m")).groupBy("game_id", F.col("m.on").alias("on"))
+    change = change.agg(*[F.sum(F.when(F.col("m.c") == c, F.col("m.k")).otherwise(0)).alias(c) for c in ("dau", "wau", "mau")])
     span = act.groupBy("game_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    ahead = act.join(F.broadcast(span), "game_id").withColumn("on", F.explode(F.sequence("day", F.least(F.date_add("day", 29), "hi"))))
-    near = F.date_diff("on", "day")
-    # distinct by (game, on, user) first, with the nearest activity: then plain sums
-    user = ahead.groupBy("game_id", "on", "user_id", "lo").agg(F.min(near).alias("near"))
-    d = user.groupBy("game_id", "on", "lo").agg(F.sum((F.col("near") == 0).cast("int")).alias("dau"), F.sum((F.col("near") < 7).cast("int")).alias("wau0"), F.count(F.lit(1)).alias("mau0"))
+    days = span.select("game_id", "lo", F.explode(F.sequence("lo", "hi")).alias("on"))
+    w = W.partitionBy("game_id").orderBy("on").rowsBetween(W.unboundedPreceding, 0)  # a row a day
+    d = days.join(change, ["game_id", "on"], "left").na.fill(0, ["dau", "wau", "mau"])
+    d = d.select("game_id", "lo", "on", *[F.sum(c).over(w).alias(c) for c in ("dau", "wau", "mau")]).where("mau > 0")
     full = lambda n, c: F.when(F.date_diff("on", "lo") >= n - 1, F.col(c))
-    return d.select("game_id", F.col("on").alias("day"), "dau", full(7, "wau0").alias("wau"), full(30, "mau0").alias("mau"), F.try_divide(F.col("dau").cast("double"), full(30, "mau0")).alias("stickiness"))
+    return d.select("game_id", F.col("on").alias("day"), "dau", full(7, "wau").alias("wau"), full(30, "mau").alias("mau"), F.try_divide(F.col("dau").cast("double"), full(30, "mau")).alias("stickiness"))
 
 
 def revenue_kpis(c: DataFrame, act: DataFrame) -> DataFrame:
@@ -136,12 +143,21 @@ def revenue_kpis(c: DataFrame, act: DataFrame) -> DataFrame:
 
 
 def whale(c: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Share of the period's spend by its top 1, 5 and 10 % of payers, ceil(p n / 100) of them."""
-    p = payer_period(c)
-    w = W.partitionBy("game_id", "period")
-    ranked = p.withColumn("rank", F.row_number().over(w.orderBy(F.desc("spend"), "user_id"))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("spend").over(w))
-    out = ranked.withColumn("pct", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).groupBy("game_id", "period", "pct", "n", "total").agg(F.sum(F.when(F.col("rank") <= F.ceil(F.col("pct") * F.col("n") / 100), F.col("spend"))).alias("top"))
-    return out.select("game_id", "period", "pct", "n", F.try_divide(F.col("top").cast("double"), F.col("total").cast("double")).alias("share"), (F.col("n") < cfg.whale_low_size).alias("low_confidence"))
+    """Share of the period's spend by its top 1, 5 and 10 % of payers, ceil(p n / 100) of them.
+
+    Payers are counted by what they spent first; of the amount at which the top ends as many count as are wanted.
+    Payers with a purchase that no rate converts yet may stand too low: indeterminate says how many there are."""
+    keys = ["game_id", "period"]
+    parked = F.col("fx_state") == "parked" if "fx_state" in c.columns else F.lit(False)
+    open_ = c.where((F.col("user_id") != "") & parked).groupBy("game_id", F.date_format("day", "yyyy-MM").alias("period")).agg(F.count_distinct("user_id").alias("indeterminate"))
+    at = payer_period(c).groupBy(*keys, "spend").agg(F.count(F.lit(1)).alias("k"))
+    w = W.partitionBy(*keys).orderBy(F.desc("spend")).rowsBetween(W.unboundedPreceding, -1)
+    at = at.withColumn("above", F.coalesce(F.sum("k").over(w), F.lit(0)))
+    total = at.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("spend")).alias("total"))
+    wanted = total.withColumn("pct", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).withColumn("want", F.ceil(F.col("pct") * F.col("n") / 100))
+    some = at.join(wanted, keys).where("above < want")
+    out = some.groupBy(*keys, "pct", "n", "total").agg(F.sum(F.least(F.col("k"), F.col("want") - F.col("above")) * F.col("spend")).alias("top")).join(open_, keys, "left")
+    return out.select(*keys, "pct", "n", F.try_divide(F.col("top").cast("double"), F.col("total").cast("double")).alias("share"), (F.col("n") < cfg.whale_low_size).alias("low_confidence"), F.coalesce("indeterminate", F.lit(0)).alias("indeterminate"))
 
 
 def reconcile(cell_rows: DataFrame, c: DataFrame) -> DataFrame:

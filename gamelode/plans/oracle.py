@@ -13,7 +13,7 @@ def day(ms: str, offset: int = 0) -> str:
     return f"(DATE '1970-01-01' + CAST(floor(({ms} + {offset * 60000}) / 86400000.0) AS INTEGER))"
 
 
-ENV = f"env AS (SELECT * FROM ({ADAPTER.format(ms=DUCK_MS)}))"
+ENV = f"env AS MATERIALIZED (SELECT * FROM ({ADAPTER.format(ms=DUCK_MS)}))"
 #: The adapter's personal properties, without the denied key and redacted. Typed events have none.
 SCRUBBED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(props, ',"Email":"[^"]*"', ''), '"note":"[^"]*@[^"]*"', '"note":"[redacted:email]"'), '"from":"10\.0\.0\.[0-9]+"', '"from":"[redacted:ip]"'), '"ref":"[0-9]{9,}"', '"ref":"[redacted:digits]"')"""
 TIMES = f"""{ENV},
@@ -27,15 +27,15 @@ judged AS (SELECT *, CASE WHEN trim(name) = '' THEN 'nameless' WHEN rk NOT IN ('
     WHEN rk = 'economy' AND CAST(json_extract_string(props, '$.amount') AS BIGINT) <= 0 THEN 'quarantined_typed'
     WHEN rk = 'purchase' AND src = 'server' AND user_id IS NULL THEN 'quarantined_typed' END AS early FROM kinds),
 names AS (SELECT game_id, name, row_number() OVER (PARTITION BY game_id ORDER BY min((processed_at, server_received_time, event_id))) AS nth FROM judged WHERE early IS NULL AND rk = 'generic' GROUP BY 1, 2),
-sealed AS (SELECT j.*, CASE WHEN early IS NULL AND rk = 'generic' AND n.nth > 1 THEN 'other' ELSE j.name END AS bucket_name,
+sealed AS MATERIALIZED (SELECT j.*, CASE WHEN early IS NULL AND rk = 'generic' AND n.nth > 1 THEN 'other' ELSE j.name END AS bucket_name,
     coalesce(early, CASE WHEN processed_at >= (j.day - DATE '1970-01-01' + 3) * CAST(86400000 AS BIGINT) THEN 'sealed_late' END) AS reason FROM judged j LEFT JOIN names n USING (game_id, name)),
-ok AS (SELECT *, rk = 'purchase' AND coalesce(src, '') = 'server' AS is_server, row_number() OVER (PARTITION BY game_id, event_id ORDER BY processed_at, server_received_time) AS nth FROM sealed WHERE reason IS NULL),
+ok AS MATERIALIZED (SELECT *, rk = 'purchase' AND coalesce(src, '') = 'server' AS is_server, row_number() OVER (PARTITION BY game_id, event_id ORDER BY processed_at, server_received_time) AS nth FROM sealed WHERE reason IS NULL),
 fold AS (WITH RECURSIVE f AS (SELECT game_id, event_id, nth, processed_at AS opened, true AS opens FROM ok WHERE nth = 1 AND NOT is_server
     UNION ALL SELECT o.game_id, o.event_id, o.nth, CASE WHEN o.processed_at - f.opened >= 86400000 THEN o.processed_at ELSE f.opened END, o.processed_at - f.opened >= 86400000
     FROM f JOIN ok o ON o.game_id = f.game_id AND o.event_id = f.event_id AND o.nth = f.nth + 1) SELECT * FROM f),
 money AS (SELECT *, row_number() OVER (PARTITION BY json_extract_string(props, '$.transaction_id') ORDER BY processed_at, server_received_time, event_id) AS tx_nth
     FROM ok WHERE is_server AND provenance = 'server' AND json_extract_string(props, '$.verified') = 'true' AND json_extract_string(props, '$.environment') = 'prod'),
-counted AS (SELECT o.*, m.tx_nth IS NOT NULL AS money FROM ok o LEFT JOIN fold f USING (game_id, event_id, nth) LEFT JOIN money m USING (game_id, event_id, nth)
+counted AS MATERIALIZED (SELECT o.*, m.tx_nth IS NOT NULL AS money FROM ok o LEFT JOIN fold f USING (game_id, event_id, nth) LEFT JOIN money m USING (game_id, event_id, nth)
     WHERE CASE WHEN m.tx_nth IS NOT NULL THEN m.tx_nth = 1 WHEN o.is_server THEN true ELSE f.opens END)"""
 SESSIONS = f"""{ROUTED},
 s0 AS (SELECT *, CAST(json_extract_string(props, '$.session_start_time') AS BIGINT) AS rs, CAST(json_extract_string(props, '$.session_end_time') AS BIGINT) AS re,
@@ -63,12 +63,12 @@ MONEY = f"""{ROUTED},
 fx(currency, rate_date, rate) AS (VALUES {FX_VALUES}),
 p0 AS (SELECT *, json_extract_string(props, '$.transaction_id') AS tx, json_extract_string(props, '$.product_id') AS product_id, json_extract_string(props, '$.product_category') AS cat,
     CAST(json_extract_string(props, '$.price_local') AS DECIMAL(12,2)) AS price, json_extract_string(props, '$.currency') AS currency, json_extract_string(props, '$.purchase_attempt_id') AS attempt FROM counted WHERE money),
-conv AS (SELECT p.*, fx.rate_date, CASE WHEN fx.rate_date IS NULL OR p.day - fx.rate_date > 7 THEN 'parked' WHEN fx.rate_date = p.day THEN 'fresh' ELSE 'carried' END AS fx_state,
+conv AS MATERIALIZED (SELECT p.*, fx.rate_date, CASE WHEN fx.rate_date IS NULL OR p.day - fx.rate_date > 7 THEN 'parked' WHEN fx.rate_date = p.day THEN 'fresh' ELSE 'carried' END AS fx_state,
     CASE WHEN fx.rate_date IS NULL OR p.day - fx.rate_date > 7 THEN 0 ELSE CAST(round(p.price * fx.rate, 6) AS DECIMAL(24,6)) END AS norm
     FROM p0 p ASOF LEFT JOIN fx ON p.currency = fx.currency AND p.day >= fx.rate_date),
-tier AS (SELECT *, CASE WHEN count(*) OVER w = 0 THEN 'first' WHEN count(*) FILTER (WHERE fx_state = 'parked') OVER w > 0 THEN 'indeterminate' WHEN sum(norm) OVER w >= 100 THEN 'whale' WHEN sum(norm) OVER w >= 10 THEN 'dolphin' ELSE 'minnow' END AS payer_tier
+tier AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER w = 0 THEN 'first' WHEN count(*) FILTER (WHERE fx_state = 'parked') OVER w > 0 THEN 'indeterminate' WHEN sum(norm) OVER w >= 100 THEN 'whale' WHEN sum(norm) OVER w >= 10 THEN 'dolphin' ELSE 'minnow' END AS payer_tier
     FROM conv WINDOW w AS (PARTITION BY game_id, user_id ORDER BY processed_at, server_received_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cmp AS (SELECT game_id, json_extract_string(props, '$.purchase_attempt_id') AS attempt, server_received_time AS crecv, processed_at AS cat_, event_id AS cev, json_extract_string(props, '$.region') AS region,
+cmp AS MATERIALIZED (SELECT game_id, json_extract_string(props, '$.purchase_attempt_id') AS attempt, server_received_time AS crecv, processed_at AS cat_, event_id AS cev, json_extract_string(props, '$.region') AS region,
     json_extract_string(props, '$.in_game_state') AS st, CAST(json_extract_string(props, '$.player_level') AS BIGINT) AS lvl FROM counted WHERE rk = 'purchase' AND src = 'client'),
 ctx AS (SELECT t.tx, arg_max(c.region, (cat_, crecv, cev)) FILTER (WHERE c.region IS NOT NULL) AS region, arg_max(st, (cat_, crecv, cev)) FILTER (WHERE st IS NOT NULL) AS st, arg_max({LEVEL.format("c.lvl")}, (cat_, crecv, cev)) FILTER (WHERE c.lvl IS NOT NULL) AS lvl
     FROM tier t JOIN cmp c USING (game_id, attempt) WHERE abs(c.crecv - t.server_received_time) <= 172800000 AND c.cat_ < (t.day - DATE '1970-01-01' + 3) * CAST(86400000 AS BIGINT) GROUP BY 1),

@@ -197,7 +197,7 @@ def _(t):
     return grid.join(tally, ["arrival_day", "reason"], "left").select(F.col("arrival_day").alias("day"), "reason", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("q_clock_regression", f"WITH {O.ENV}, h AS (SELECT *, max(server_received_time) OVER (PARTITION BY game_id, {O.day('processed_at')} ORDER BY processed_at, server_received_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM env) SELECT game_id, event_id, server_received_time, high FROM h WHERE server_received_time < high")
+@query("q_clock_regression", f"WITH {O.ENV}, h AS (SELECT *, max(server_received_time) OVER (PARTITION BY game_id ORDER BY processed_at, server_received_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM env) SELECT game_id, event_id, server_received_time, high FROM h WHERE server_received_time < high")
 def _(t):
     return K.clock_regression(t.env).select("game_id", "event_id", "server_received_time", "high")
 
@@ -521,7 +521,7 @@ def _(t):
 
 
 @query("q_whale", f"""WITH {O.MONEY}, s AS (SELECT game_id, strftime(day, '%Y-%m') AS period, user_id, sum(norm) AS v FROM conv GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY game_id, period ORDER BY v DESC, user_id) AS i, count(*) OVER (PARTITION BY game_id, period) AS c FROM s), g(pct) AS (VALUES (1), (5), (10))
-SELECT game_id, period, {n('pct', 'pct')}, {n('c', 'n')}, {r6('CAST(sum(v) FILTER (WHERE i <= (pct * c + 99) // 100) AS DOUBLE) / nullif(CAST(sum(v) AS DOUBLE), 0)', 'share')}, c < 20 AS low_confidence FROM r CROSS JOIN g GROUP BY game_id, period, pct, c""")
+SELECT game_id, period, {n('pct', 'pct')}, {n('c', 'n')}, {n('coalesce((SELECT count(DISTINCT user_id) FROM conv p WHERE p.game_id = r.game_id AND strftime(p.day, \'%Y-%m\') = r.period AND fx_state = \'parked\' AND user_id IS NOT NULL), 0)', 'indeterminate')}, {r6('CAST(sum(v) FILTER (WHERE i <= (pct * c + 99) // 100) AS DOUBLE) / nullif(CAST(sum(v) AS DOUBLE), 0)', 'share')}, c < 20 AS low_confidence FROM r CROSS JOIN g GROUP BY game_id, period, pct, c""")
 def _(t):
     return M.whale(t.converted, CFG)
 
@@ -614,7 +614,11 @@ def _(t):
     return funnel(t.counted.where("user_id IS NOT NULL"), ("session", "economy", "purchase"), 7 * 86_400_000)
 
 
-@query("q_rate_limit", None)
+@query("q_rate_limit", f"""WITH RECURSIVE {O.ENV}, b AS MATERIALIZED (SELECT game_id, server_received_time AS ms, count(*) AS n, row_number() OVER (PARTITION BY game_id ORDER BY server_received_time) AS i FROM env GROUP BY 1, 2),
+f AS (SELECT game_id, ms, n, i, CAST(0 AS DOUBLE) AS tokens, true AS admitted FROM b WHERE i = 1
+  UNION ALL SELECT game_id, ms, n, i, have - CASE WHEN have >= 1 THEN 1 ELSE 0 END, have >= 1
+  FROM (SELECT b.*, least(CAST(1 AS DOUBLE), f.tokens + (b.ms - f.ms) * CAST(0.001 AS DOUBLE)) AS have FROM f JOIN b ON b.game_id = f.game_id AND b.i = f.i + 1))
+SELECT game_id, ms AS "at", {n('n', 'n')}, admitted FROM f""")
 def _(t):
     batches = t.env.groupBy("game_id", F.col("server_received_time").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     return K.rate_limited(batches, Config(rate_per_s=1, rate_burst=1))
