@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.store import materialised
 
 
 def _greatest(old: str, new: str, **_) -> Column:
@@ -45,3 +48,23 @@ def merged(target: DataFrame, delta: DataFrame, keys: list[str], columns: dict[s
 
     kinds = {**{c: next((k for k in columns.values() if k in ("newer", "last")), "last") for c in order}, **columns}
     return both.select(*keys, *[value(c, k) for c, k in kinds.items()])
+
+
+def upsert(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], columns: dict[str, str], partition: list[str], order: list[str] | None = None) -> None:
+    """Merge delta into the rollup stored at path, partitioned by some of its keys.
+
+    Only partitions that delta touches are read and replaced. The merged rows are materialised before any file goes, and
+    merging a delta again changes nothing, so a batch that comes twice, or a run that ends half way, does no harm. Both
+    sides hold one row a key. For streams: foreachBatch(lambda batch, _: upsert(...)).
+    """
+    delta = materialised(delta)
+    touched = delta.select(*partition).distinct()
+    try:
+        target = spark.read.schema(delta.schema).parquet(path)
+        target = target.join(touched, partition, "left_semi")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        target = delta.limit(0)
+    out = materialised(merged(target, delta, keys, columns, order).select(*delta.columns))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import timex
 from .economy import level_bucket
-from .kernel import ARRIVAL, capped, is_number, prop
+from .kernel import ARRIVAL, NUMBER, capped, is_number, prop
 
 CLIENT_DIMS = ("in_game_state", "level_bucket", "region")
 
@@ -44,6 +45,27 @@ def payer_tier(c: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return c.withColumn("payer_tier", tier)
 
 
+def fx_table(table: Column) -> Column:
+    """array<struct<currency, rate_date, rate>> of an operator's table {currency: {date: rate}} as JSON text; what is no
+    number, and dates not written yyyy-mm-dd or that don't exist, are left out. Anything but an object gives none."""
+    each = F.map_entries(F.from_json(table, "map<string,variant>"))
+    dates = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    rows = F.flatten(F.transform(each, lambda c: F.coalesce(F.transform(dates(c["value"]), lambda d: F.struct(
+        c["key"].alias("currency"), F.when(d["key"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(d["key"], F.lit("yyyy-MM-dd")))).alias("rate_date"),
+        F.when(F.schema_of_variant(d["value"]).rlike(NUMBER), F.try_variant_get(d["value"], "$", "decimal(16,10)")).alias("rate"))), F.array())))
+    return F.coalesce(F.filter(rows, lambda r: r["rate_date"].isNotNull() & r["rate"].isNotNull()), F.array())
+
+
+def server_dims(c: DataFrame, spine: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """c with install_cohort (day first seen) and days_since_install, as text: `unknown` for users never seen in a session.
+
+    spine: user_spine's (game_id, user_id, first_seen_ms)."""
+    seen = spine.select("game_id", "user_id", timex.logical_day("first_seen_ms", cfg).alias("__first"))
+    out = c.join(seen, ["game_id", "user_id"], "left")
+    known = lambda x: F.coalesce(x.cast("string"), F.lit("unknown"))
+    return out.withColumn("install_cohort", known(F.col("__first"))).withColumn("days_since_install", known(F.date_diff("day", "__first"))).drop("__first")
+
+
 def companions(r: DataFrame) -> DataFrame:
     return r.where("counted AND resolved_kind = 'purchase'").where(prop("source") == "client").select(
         "game_id", prop("purchase_attempt_id").alias("attempt_id"), F.col("server_received_time").alias("c_recv"), F.col("processed_at").alias("c_at"), F.col("event_id").alias("c_event"), prop("region").alias("region"), prop("in_game_state").alias("in_game_state"),
@@ -166,3 +188,13 @@ def reconcile(cell_rows: DataFrame, c: DataFrame) -> DataFrame:
     b = c.groupBy("game_id", "day").agg(F.sum("normalized").alias("derived"))
     both = a.join(b, ["game_id", "day"], "full").select("game_id", "day", F.coalesce(F.col("booked").cast("double"), F.lit(0.0)).alias("booked"), F.coalesce(F.col("derived").cast("double"), F.lit(0.0)).alias("derived"))
     return both.withColumn("correction", F.when(F.abs(F.col("derived") - F.col("booked")) > F.greatest(F.lit(1e-6), F.abs(F.col("derived")) * 1e-9), F.col("derived") - F.col("booked")).otherwise(0.0))
+
+
+def booked(cell_rows: DataFrame, c: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """cells with each game-day's correction booked into the cell whose product and dimensions are unknown: then the
+    cells' revenue is what the transactions give. Booking again changes nothing."""
+    combo = dim_combo({d: F.lit(None).cast("string") for d in cfg.active_dims})
+    gaps = reconcile(cell_rows, c).where("correction <> 0")
+    fix = gaps.select("game_id", F.lit("unknown").alias("product_id"), combo.alias("dim_combo"), "day", F.lit(0).cast("long").alias("purchase_count"), F.round("correction", 6).cast("decimal(24,6)").alias("revenue"), F.lit("reconciliation").alias("product_category"))
+    both = cell_rows.select(*fix.columns).unionByName(fix)
+    return both.groupBy("game_id", "product_id", "dim_combo", "day").agg(F.sum("purchase_count").alias("purchase_count"), F.sum("revenue").alias("revenue"), F.min("product_category").alias("product_category"))

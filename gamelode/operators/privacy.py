@@ -6,6 +6,9 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..config import DEFAULT, Config
+from ..functions import timex
+
 
 def subject_ref(game_id: str, user_id: str, master: str) -> Column:
     """HMAC-SHA256 of the user under sha256(master:subject:game), spelled out with built-in functions."""
@@ -28,6 +31,35 @@ def erased(rows: DataFrame, ledger: DataFrame, master: str) -> DataFrame:
     return rows.join(gone, ["game_id", "user_id"], "left_anti")
 
 
+#: Stands for the user of a purchase whose subject was erased.
+ERASED = "__erased__"
+
+
+def erase(tables: dict[str, DataFrame], subjects: DataFrame, purchases: str = "detach") -> dict[str, DataFrame]:
+    """tables (name -> rows with game_id and user_id) without subjects (game_id, user_id), twice the same as once.
+
+    Rows of a subject go. Those of the table named `purchases` keep their money and lose their user (detach), or go as
+    well (delete). Counts by cell carry no user and stay as they are.
+    """
+    gone = subjects.select("game_id", "user_id").distinct()
+    out = {name: rows.join(gone, ["game_id", "user_id"], "left_anti") for name, rows in tables.items() if name != "purchases" or purchases == "delete"}
+    if "purchases" in tables and purchases != "delete":
+        rows = tables["purchases"]
+        marked = rows.join(gone.withColumn("__gone", F.lit(True)), ["game_id", "user_id"], "left")
+        out["purchases"] = marked.withColumn("user_id", F.when(F.col("__gone"), F.lit(ERASED)).otherwise(F.col("user_id"))).select(*rows.columns)
+    return out
+
+
+def erasure_states(requests: DataFrame, days: DataFrame, as_of_ms: int, cfg: Config = DEFAULT) -> DataFrame:
+    """requests (game_id, request_id, user_id, executed) with status, all_sealed and the number of days that hold the
+    subject: executed ones stay executed; one with an unsealed day waits for its seal; the others are executed now.
+    days: (game_id, user_id, day)."""
+    sealed = timex.seal_state("day", F.lit(as_of_ms), cfg) == "sealed"
+    held = days.select("game_id", "user_id", "day").distinct().groupBy("game_id", "user_id").agg(F.count(F.lit(1)).alias("n_days"), F.every(sealed).alias("all_sealed"))
+    both = requests.join(held, ["game_id", "user_id"], "left").na.fill(0, ["n_days"]).withColumn("all_sealed", F.coalesce("all_sealed", F.lit(True)))
+    return both.withColumn("status", F.when(F.col("executed") | F.col("all_sealed"), "executed").otherwise("awaiting_seal"))
+
+
 def funnel(rows: DataFrame, steps: tuple[str, ...], window_ms: int) -> DataFrame:
     """Users by game who reach each step in order within window_ms of their first one, and the whole conversion.
 

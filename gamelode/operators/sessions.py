@@ -54,6 +54,13 @@ def activity(s: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return out.where((F.col("day_offset") >= 0) & (F.col("day_offset") < cfg.span_days)).select("game_id", "user_id", "cohort_date", "day_offset").distinct()
 
 
+def negative_offsets(s: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Sessions, by game and day of arrival, that start before the day their user was first seen: they set no bit."""
+    spine = user_spine(s).withColumn("cohort_date", timex.logical_day("first_seen_ms", cfg))
+    own = s.where("provenance = 'client' AND user_id <> ''").join(spine, ["game_id", "user_id"])
+    return own.where(F.col("start_day") < F.col("cohort_date")).groupBy("game_id", "arrival_day").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cohorts(s: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return user_spine(s).groupBy("game_id", timex.logical_day("first_seen_ms", cfg).alias("cohort_date")).agg(F.count(F.lit(1)).alias("cohort_size"))
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Config
-from ..functions import timex
-from ..operators import economy as ECO, kernel as K, monetization as M, sessions as S
-from ..sources import envelopes
-from ..sources.store import materialised
+from ..functions import periods, timex
+from ..operators import economy as ECO, kernel as K, monetization as M, privacy, sessions as S
+from ..operators.merge import upsert
+from ..sources import envelopes, raw
+from ..sources.store import fresh_folder, materialised
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -641,3 +643,111 @@ def _(t):
 @query("q_identity_edge", f"WITH {O.ROUTED} SELECT game_id, anon_id, user_id, min(corrected_time) AS first_linked_ms FROM counted WHERE anon_id IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL")
 def _(t):
     return t.counted.where("anon_id IS NOT NULL AND user_id IS NOT NULL").groupBy("game_id", "anon_id", "user_id").agg(F.min("corrected_time").alias("first_linked_ms"))
+
+
+# --- sinks, server dimensions, erasure, periods -------------------------------------------------------------------
+
+
+@query("q_raw_append", f"""WITH {O.ROUTED} SELECT game_id, {d('day')}, CASE WHEN reason IS NULL THEN 'body' ELSE 'quarantine' END AS class, 'raw/' || game_id || '/' || CAST(day AS VARCHAR) || '.rawlog' AS object_key, {n('count(*)', 'n')},
+{n('count(*) FILTER (WHERE contains(props, %s[redacted%s))' % ("'", "'"), 'redacted')} FROM sealed WHERE coalesce(reason, '') <> 'nameless' GROUP BY 1, 2, 3, 4""")
+def _(t):
+    path = fresh_folder(t.spark, "raw")
+    raw.append_raw(t.routed, path)
+    line = raw.read_raw(t.spark, path).select("game_id", F.col("corrected_day").alias("day"), "class", raw.object_key(F.col("game_id"), F.col("corrected_day")).alias("object_key"), F.get_json_object("value", "$.props").alias("props"))
+    return line.groupBy("game_id", "day", "class", "object_key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("props").contains("[redacted"), 1)).alias("redacted"))
+
+
+@query("q_raw_shipment", f"""WITH {O.ROUTED} SELECT game_id, {d('day')}, CASE WHEN day >= DATE '2024-01-20' THEN 'wait' WHEN day < DATE '2024-01-10' THEN 'verified' ELSE 'ship' END AS state FROM sealed WHERE coalesce(reason, '') <> 'nameless' GROUP BY game_id, day""")
+def _(t):
+    path = fresh_folder(t.spark, "raw")
+    raw.append_raw(t.routed, path)
+    local = raw.manifest(t.spark, path)
+    stored = local.where("corrected_day < '2024-01-10'").select("path", "size", "sha256")
+    return raw.shipment(local, stored, F.lit("2024-01-20")).select("game_id", F.col("corrected_day").alias("day"), "state").distinct()
+
+
+@query("q_merge_upsert", f"WITH {O.ROUTED} SELECT game_id, bucket_name, {d('day')}, {n('count(*)', 'n')}, min(corrected_time) AS first_seen, arg_max(event_id, (processed_at, server_received_time, event_id)) AS last_event, max(processed_at) AS as_of FROM counted GROUP BY 1, 2, 3")
+def _(t):
+    path, keys = fresh_folder(t.spark, "rollup"), ["game_id", "bucket_name", "day"]
+    own = F.struct(*K.ARRIVAL)
+    cells = lambda rows: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("corrected_time").alias("first_seen"), F.max_by("event_id", own).alias("last_event"), F.max("processed_at").alias("as_of"))
+    early = t.counted.where("processed_at < 1705363200000")
+    for delta in (cells(early), cells(t.counted), cells(early), cells(t.counted)):  # deltas that come again change nothing
+        upsert(t.spark, path, delta, keys, {"n": "greatest", "first_seen": "least", "last_event": "last"}, ["day"], ["as_of"])
+    return t.spark.read.parquet(path)
+
+
+@query("q_server_dims", f"""WITH {_BOTH} SELECT tx AS transaction_id, CASE WHEN first_seen_ms IS NULL THEN 'unknown' ELSE CAST({O.day('first_seen_ms')} AS VARCHAR) END AS install_cohort,
+CASE WHEN first_seen_ms IS NULL THEN 'unknown' ELSE CAST(conv.day - {O.day('first_seen_ms')} AS VARCHAR) END AS days_since_install FROM conv LEFT JOIN spine USING (game_id, user_id)""")
+def _(t):
+    return M.server_dims(t.converted, S.user_spine(t.sessions), CFG).select("transaction_id", "install_cohort", "days_since_install")
+
+
+@query("q_conversion_rate", f"""WITH {_BOTH}, f AS (SELECT game_id, user_id, arg_min(day, (processed_at, server_received_time, event_id)) AS fd FROM conv WHERE user_id IS NOT NULL GROUP BY 1, 2), w AS (SELECT game_id, count(*) AS new_users FROM spine WHERE {O.day('first_seen_ms')} BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1)
+SELECT game_id, {n('count(f.user_id)', 'first_payers')}, {n('coalesce(any_value(new_users), 0)', 'new_users')}, {r6('count(f.user_id) / nullif(any_value(new_users), 0)', 'rate')} FROM (SELECT DISTINCT game_id FROM spine) g LEFT JOIN w USING (game_id) LEFT JOIN (SELECT * FROM f WHERE fd BETWEEN DATE '2024-01-08' AND DATE '2024-01-14') f USING (game_id) GROUP BY 1""")
+def _(t):
+    inside = "BETWEEN date'2024-01-08' AND date'2024-01-14'"
+    spine = S.user_spine(t.sessions).withColumn("day", timex.logical_day("first_seen_ms", CFG))
+    new = spine.groupBy("game_id").agg(F.count(F.when(F.expr(f"day {inside}"), 1)).alias("new_users"))
+    first = M.payer_spine(t.converted).where(f"first_purchase_day {inside}").groupBy("game_id").agg(F.count(F.lit(1)).alias("first_payers"))
+    both = new.join(first, "game_id", "left").na.fill(0, ["first_payers"])
+    return both.withColumn("rate", F.try_divide(F.col("first_payers"), F.col("new_users")))
+
+
+@query("q_negative_offset", f"WITH {O.SESSIONS} SELECT s.game_id, {d('s.arrival_day')}, {n('count(*)', 'n')} FROM sess s JOIN spine USING (game_id, user_id) WHERE provenance = 'client' AND s.start_day < {O.day('first_seen_ms')} GROUP BY 1, 2")
+def _(t):
+    return S.negative_offsets(t.sessions, CFG)
+
+
+_GONE = "user_id IN ('u7', 'u11', 'u30')"
+
+
+@query("q_erase", f"""WITH {_BOTH} SELECT game_id, {n(f'(SELECT count(*) FROM spine s WHERE s.game_id = g.game_id AND NOT {_GONE})', 'spine')}, {n(f'(SELECT count(*) FROM act a WHERE a.game_id = g.game_id AND NOT {_GONE})', 'active_days')},
+{n('(SELECT count(*) FROM conv c WHERE c.game_id = g.game_id)', 'purchases')}, {n(f'(SELECT count(*) FROM conv c WHERE c.game_id = g.game_id AND {_GONE})', 'detached')}, {r6('(SELECT sum(norm) FROM conv c WHERE c.game_id = g.game_id)', 'revenue')} FROM (SELECT DISTINCT game_id FROM conv) g""")
+def _(t):
+    gone = t.converted.where(_GONE).select("game_id", "user_id").unionByName(S.user_spine(t.sessions).where(_GONE).select("game_id", "user_id"))
+    left = privacy.erase({"spine": S.user_spine(t.sessions), "act": S.active_user_day(t.sessions), "purchases": t.converted}, gone)
+    left = privacy.erase(left, gone)  # again: no change
+    count = lambda rows, name: rows.groupBy("game_id").agg(F.count(F.lit(1)).alias(name))
+    p = left["purchases"].groupBy("game_id").agg(F.count(F.lit(1)).alias("purchases"), F.count(F.when(F.col("user_id") == privacy.ERASED, 1)).alias("detached"), F.sum("normalized").alias("revenue"))
+    return p.join(count(left["spine"], "spine"), "game_id", "left").join(count(left["act"], "active_days"), "game_id", "left").na.fill(0, ["spine", "active_days"])
+
+
+@query("q_erasure_states", f"""WITH {_BOTH}, days AS (SELECT game_id, user_id, day FROM act UNION SELECT game_id, user_id, day FROM conv WHERE user_id IS NOT NULL)
+SELECT game_id, user_id, {n('count(*)', 'n_days')}, bool_and(1705363200000 >= (day - DATE '1970-01-01' + 3) * CAST(86400000 AS BIGINT)) AS all_sealed, CASE WHEN bool_and(1705363200000 >= (day - DATE '1970-01-01' + 3) * CAST(86400000 AS BIGINT)) OR user_id = 'u7' THEN 'executed' ELSE 'awaiting_seal' END AS status FROM days GROUP BY 1, 2""")
+def _(t):
+    days = S.active_user_day(t.sessions).select("game_id", "user_id", "day").union(t.converted.where("user_id <> ''").select("game_id", "user_id", "day")).distinct()
+    asked = days.select("game_id", "user_id").distinct().withColumn("request_id", F.concat("game_id", F.lit("/"), "user_id")).withColumn("executed", F.col("user_id") == "u7")
+    return privacy.erasure_states(asked, days, 1705363200000, CFG).select("game_id", "user_id", "n_days", "all_sealed", "status")
+
+
+@query("q_fx_decode", f"SELECT * FROM (VALUES ('EUR', '2024-01-01', CAST(1.1 AS DOUBLE)), ('EUR', '2024-01-08', CAST(1.11 AS DOUBLE)), ('JPY', '2024-01-08', CAST(0.0068 AS DOUBLE))) AS v(currency, rate_date, rate)")
+def _(t):
+    table = '{"EUR":{"2024-01-01":1.1,"2024-01-08":1.11,"2024-1-9":1.2,"2024-02-31":1.2,"2024-01-15":"1.3","2024-01-16":null},"JPY":{"2024-01-08":0.0068},"GBP":5,"CHF":{}}'
+    return t.spark.range(1).select(F.inline(M.fx_table(F.lit(table))))
+
+
+@query("q_reconcile_booked", f"""WITH {O.MONEY} SELECT game_id, {d('day')}, {r6('sum(norm)', 'revenue')}, {r6("coalesce(sum(norm) FILTER (WHERE product_id = 'p3'), 0)", 'unknown_revenue')} FROM conv GROUP BY 1, 2 HAVING count(*) FILTER (WHERE product_id <> 'p3') > 0 OR sum(norm) > 0.000001""")
+def _(t):
+    lost = M.cells(t.dims, CFG).where("product_id <> 'p3'")  # cells that a fault has lost
+    again = M.booked(M.booked(lost, t.converted, CFG), t.converted, CFG)
+    return again.groupBy("game_id", "day").agg(F.sum("revenue").alias("revenue"), F.coalesce(F.sum(F.when(F.col("product_id") == "unknown", F.col("revenue"))), F.lit(0)).alias("unknown_revenue"))
+
+
+@query("q_period_compare", f"""WITH {O.ROUTED}, p(period, first, last, pfirst, plast) AS (VALUES ('24h', DATE '2024-01-31', DATE '2024-01-31', DATE '2024-01-30', DATE '2024-01-30'), ('7d', DATE '2024-01-25', DATE '2024-01-31', DATE '2024-01-18', DATE '2024-01-24'),
+('30d', DATE '2024-01-02', DATE '2024-01-31', DATE '2023-12-03', DATE '2024-01-01'), ('90d', DATE '2023-11-03', DATE '2024-01-31', DATE '2023-08-05', DATE '2023-11-02'), ('custom', DATE '2024-01-10', DATE '2024-01-12', DATE '2024-01-07', DATE '2024-01-09'))
+SELECT period, {n('count(*) FILTER (WHERE day BETWEEN first AND last)', 'events')}, {n('count(*) FILTER (WHERE day BETWEEN pfirst AND plast)', 'before')}, period <> 'custom' AS provisional FROM p CROSS JOIN counted GROUP BY period""")
+def _(t):
+    today = datetime.date.fromisoformat(AS_OF)
+    chosen = [periods.resolve(name, today, "2024-01-10", "2024-01-12") for name in (*periods.PRESETS, "custom")]
+    days = t.counted.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    inside = lambda a, b: F.coalesce(F.sum(F.when(F.col("day").between(F.lit(a), F.lit(b)), F.col("n"))), F.lit(0))
+    sums = days.agg(*[F.struct(F.lit(p.name).alias("period"), inside(p.first, p.last).alias("events"), inside(p.previous_first, p.previous_last).alias("before"), F.lit(p.provisional).alias("provisional")).alias(p.name) for p in chosen])
+    return sums.select(F.inline(F.array(*[F.col(f"`{p.name}`") for p in chosen])))
+
+
+@query("q_formats", """SELECT event_id, replace(printf('%,d', CAST(floor(value * 100 + 0.5) AS BIGINT)), '.', ',') AS a_count, CASE WHEN value * 100 >= 1000 THEN printf('%.1f', value * 100 / 1000) || 'K' ELSE CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS a_compact,
+CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's' AS a_duration FROM (SELECT event_id, value, CAST(floor(value + 0.5) AS BIGINT) AS s FROM events WHERE event_id % 20 = 0)""")
+def _(t):
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").where("event_id % 20 = 0")
+    return e.select("event_id", periods.count(F.col("value") * 100).alias("a_count"), periods.compact(F.col("value") * 100).alias("a_compact"), periods.duration(F.col("value") * 1000).alias("a_duration"))

@@ -170,3 +170,71 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "aside")).collect()] == ["nameless"]
+
+
+def test_periods():
+    import datetime
+
+    from gamelode.functions import periods
+
+    today = datetime.date(2024, 3, 1)
+    day = datetime.date.fromisoformat
+    p = periods.resolve("7d", today)
+    assert (p.first, p.last, p.previous_first, p.previous_last, p.provisional, p.days) == (day("2024-02-24"), today, day("2024-02-17"), day("2024-02-23"), True, 7)
+    assert periods.resolve("24h", today).first == today and periods.resolve("nonsense", today).name == "7d"
+    p = periods.resolve("custom", today, "2024-02-28", "2024-02-29")
+    assert (p.days, p.previous_first, p.previous_last, p.provisional) == (2, day("2024-02-26"), day("2024-02-27"), False)
+    assert periods.resolve("custom", today, "2024-03-02", "2024-02-01").name == periods.resolve("custom", today, "2024-02-30", "2024-03-01").name == "7d"
+
+
+def test_formats(spark):
+    from gamelode.functions import periods
+
+    df = spark.createDataFrame([(1234.5,), (45231.0,), (8420000.0,), (-3.2,), (None,), (float("nan"),)], "v double")
+    assert [r[0] for r in df.select(periods.compact(F.col("v"))).collect()] == ["1.2K", "45.2K", "8.4M", "-3", "N/A", "N/A"]
+    assert [r[0] for r in df.select(periods.money(F.col("v"))).collect()][:2] == ["$1,234.50", "$45,231.00"]
+    ms = spark.createDataFrame([(744_000,), (8_100_000,), (-1,), (None,)], "v long")
+    assert [r[0] for r in ms.select(periods.duration(F.col("v"))).collect()] == ["12m 24s", "2h 15m", "N/A", "N/A"]
+    assert df.select(periods.percent(F.lit(0.1478))).first()[0] == "14.8%"
+
+
+def test_raw_files_and_their_keys(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from gamelode.sources import raw
+
+    day = F.lit("2024-01-01").cast("date")
+    rows = spark.createDataFrame([("g", "e1", "route", "{}"), ("g", "e2", "quarantine", "{}"), ("h", "e3", "drop", "{}")], "game_id string, event_id string, disposition string, props string").withColumn("day", day)
+    for _ in range(2):  # appends
+        raw.append_raw(rows, str(tmp_path / "raw"))
+    got = raw.read_raw(spark, str(tmp_path / "raw")).groupBy("game_id", "corrected_day", "class").count().collect()
+    assert sorted(map(tuple, got)) == [("g", "2024-01-01", "body", 2), ("g", "2024-01-01", "quarantine", 2)]
+    local = raw.manifest(spark, str(tmp_path / "raw"))
+    first = local.limit(1)
+    assert all(len(r.sha256) == 64 and r.object_key == "raw/g/2024-01-01.rawlog" for r in local.collect())
+    states = {r.state for r in raw.shipment(local, first.withColumn("sha256", F.lit("0")).select("path", "size", "sha256"), F.lit("2024-02-01")).collect()}
+    assert states == {"mismatch", "ship"}
+    assert {r.state for r in raw.shipment(local, first.select("path", "size", "sha256"), F.lit("2024-01-01")).collect()} == {"wait"}
+    with pytest.raises(PySparkException):
+        rows.select(raw.object_key(F.lit("../x"), F.lit("2024-01-01"))).collect()
+
+
+def test_upsert_replaces_touched_partitions_alone(spark, tmp_path):
+    path, kinds = str(tmp_path / "t"), {"n": "greatest"}
+    one = spark.createDataFrame([("a", "d1", 5), ("b", "d2", 7)], "k string, day string, n long")
+    merge.upsert(spark, path, one, ["k", "day"], kinds, ["day"])
+    kept = sorted(p.name for p in (tmp_path / "t/day=d2").iterdir())
+    for _ in range(2):
+        merge.upsert(spark, path, spark.createDataFrame([("a", "d1", 4), ("c", "d1", 1), ("a", "d3", 2)], "k string, day string, n long"), ["k", "day"], kinds, ["day"])
+    got = {(r.k, r.day, r.n) for r in spark.read.schema("k string, n long, day string").parquet(path).collect()}
+    assert got == {("a", "d1", 5), ("c", "d1", 1), ("b", "d2", 7), ("a", "d3", 2)}
+    assert sorted(p.name for p in (tmp_path / "t/day=d2").iterdir()) == kept
+
+
+def test_purchases_are_detached_or_deleted(spark):
+    p = spark.createDataFrame([("g", "u", 5), ("g", "v", 6), ("h", "u", 7), ("g", None, 8)], "game_id string, user_id string, amount int")
+    who = spark.createDataFrame([("g", "u")], "game_id string, user_id string")
+    detached = privacy.erase({"purchases": p, "spine": p}, who)
+    assert sorted((r.user_id or "", r.amount) for r in detached["purchases"].collect()) == [("", 8), ("__erased__", 5), ("u", 7), ("v", 6)]
+    assert sorted(r.amount for r in detached["spine"].collect()) == [6, 7, 8]
+    assert sorted(r.amount for r in privacy.erase({"purchases": p}, who, "delete")["purchases"].collect()) == [6, 7, 8]
