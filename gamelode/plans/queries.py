@@ -41,14 +41,17 @@ def shaped(df: DataFrame) -> DataFrame:
 class Tables:
     """What the queries share: the routed rows and what the stories start from, each materialised when first asked for.
 
-    One set is kept for each session and folder, as the engine would keep these tables; a rollup is a query over them.
+    One set is kept for each session, folder and state of its events, as the engine would keep these tables; a rollup is a query over them.
     """
 
-    kept: dict[tuple[str, str], "Tables"] = {}
+    kept: dict[tuple, "Tables"] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
-        key = (spark.sparkContext.applicationId, sf_dir)
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+        state = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = (sc.applicationId, sf_dir, state.getModificationTime(), state.getLen())  # other files, other tables
         if key not in cls.kept:
             cls.kept = {k: v for k, v in list(cls.kept.items())[-3:] if k[0] == key[0]}
             cls.kept[key] = cls(spark, sf_dir)

@@ -15,7 +15,7 @@ def read_batches(spark: SparkSession, path: str, credentials: DataFrame) -> Data
     Unknown credentials give no rows.
     """
     batches = spark.read.schema(f"credential string, server_received_time bigint, processed_at bigint, events array<{EVENT}>").json(path)
-    rows = batches.join(F.broadcast(credentials), "credential").select("game_id", "provenance", "server_received_time", "processed_at", F.explode("events").alias("e"))
+    rows = batches.join(credentials, "credential").select("game_id", "provenance", "server_received_time", "processed_at", F.explode("events").alias("e"))
     return rows.select("game_id", "provenance", "server_received_time", "processed_at", "e.*").withColumn("v", F.coalesce("v", F.lit(1)))
 
 

@@ -238,3 +238,46 @@ def test_purchases_are_detached_or_deleted(spark):
     assert sorted((r.user_id or "", r.amount) for r in detached["purchases"].collect()) == [("", 8), ("__erased__", 5), ("u", 7), ("v", 6)]
     assert sorted(r.amount for r in detached["spine"].collect()) == [6, 7, 8]
     assert sorted(r.amount for r in privacy.erase({"purchases": p}, who, "delete")["purchases"].collect()) == [6, 7, 8]
+
+
+def test_stream_caps_names_and_counts_money_once(spark, tmp_path):
+    from gamelode.streaming import rollups
+
+    t = 1_704_100_000_000
+    base = dict(game_id="g", provenance="server", user_id="u", kind="generic", props="{}")
+    paid = '{"source":"server","transaction_id":"t1","original_transaction_id":"t1","product_id":"p","product_category":"c","price_local":1.5,"currency":"USD","verified":true,"environment":"prod"}'
+
+    def event(i, name, at, **more):
+        return base | dict(event_id=f"e{i}", name=name, server_received_time=at, processed_at=at, client_event_time=at, client_sent_time=at) | more
+
+    batches = [
+        [event(1, "b", t), event(2, "a", t + 1), event(3, "purchase", t, kind="purchase", props=paid), event(4, "purchase", t + 5, kind="purchase", props=paid)],
+        [event(5, "c", t + 10), event(6, "a", t + 11), event(7, "purchase", t + 12, kind="purchase", props=paid), event(1, "b", t + 13)],
+    ]
+    where = [str(tmp_path / x) for x in ("in", "out", "aside", "cp")]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        for q in rollups.day_counts(spark, *where, cfg=Config(name_cap=2)):
+            q.awaitTermination(120)
+    got = rollups.totals(spark, where[1]).collect()
+    assert {r.bucket_name: r.n for r in got} == {"a": 2, "b": 1, "other": 1, "purchase": 1}
+    open_ = rollups.provisional(rollups.totals(spark, where[1]), t).select("provisional").distinct().collect()
+    assert [r[0] for r in open_] == [True]
+
+
+def test_live_sessions_split_where_batch_does(spark, tmp_path):
+    from gamelode.streaming import rollups
+
+    gap, t = 30 * 60_000, 1_704_100_000_000
+    times = [t, t + gap - 1, t + 2 * gap - 1, t + 5 * gap, t + 5 * gap]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/0.json").write_text("\n".join(json.dumps({"user_id": "u", "t": x}) for x in times))
+    stream = spark.readStream.schema("user_id string, t long").json(str(tmp_path / "in"))
+    for last in (False, True):
+        q = rollups.live_sessions(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        (tmp_path / "in/1.json").write_text(json.dumps({"user_id": "v", "t": t + 90 * gap}))
+    got = sorted((r.start_ms, r.end_ms, r.n_events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = spark.createDataFrame([("u", x) for x in times], "user_id string, t long")
+    assert got == sorted((r.start_ms, r.end_ms, r.n_events) for r in sessions.sessionize(batch, gap).collect())
