@@ -124,9 +124,16 @@ def payer_day(c: DataFrame) -> DataFrame:
     return c.groupBy("game_id", "day").agg(F.count_distinct(F.when(F.col("user_id") != "", F.col("user_id"))).alias("payers"), F.sum("normalized").alias("revenue"))
 
 
-def top_package(e: DataFrame, dim: str) -> DataFrame:
+def top_package(e: DataFrame, dim: str, measure: str = "revenue") -> DataFrame:
+    """By value of a dimension the product with the greatest revenue or count (`n`), ties to the lesser name."""
     s = e.groupBy("game_id", dim, "product_id").agg(F.sum("normalized").alias("revenue"), F.count(F.lit(1)).alias("n"))
-    return s.withColumn("r", F.row_number().over(W.partitionBy("game_id", dim).orderBy(F.desc("revenue"), "product_id"))).where("r = 1").drop("r")
+    return s.withColumn("r", F.row_number().over(W.partitionBy("game_id", dim).orderBy(F.desc(measure), "product_id"))).where("r = 1").drop("r")
+
+
+def local_sums(e: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What cells took in each currency, before conversion: a later rate is applied to these."""
+    combo = dim_combo({d: F.col(d) for d in cfg.active_dims})
+    return e.withColumn("dim_combo", combo).groupBy("game_id", "product_id", "dim_combo", "day", "currency").agg(F.sum("price_local").alias("local"))
 
 
 def context_coverage(e: DataFrame) -> DataFrame:

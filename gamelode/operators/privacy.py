@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import timex
@@ -74,3 +74,39 @@ def funnel(rows: DataFrame, steps: tuple[str, ...], window_ms: int) -> DataFrame
         out = out.join(nxt, keys, "left").withColumn("n", F.when(F.col("next").isNotNull(), F.lit(i)).otherwise(F.col("n"))).withColumn("last", F.coalesce("next", "last")).drop("next")
     counts = [F.sum((F.col("n") >= i).cast("int")).alias(f"r{i}") for i in range(1, len(steps) + 1)]
     return out.groupBy("game_id").agg(*counts).withColumn("overall", F.col(f"r{len(steps)}") / F.col("r1"))
+
+
+def funnel_steps(rows: DataFrame, steps: tuple[str, ...], window_ms: int) -> DataFrame:
+    """funnel() step by step: game_id, step (from 1), name, reached, rate (of the step before), drop_off, median_ms (nearest
+    rank of the time since the step before; read off running counts of distinct times)."""
+    keys = ["game_id", "user_id"]
+    at = rows.select(*keys, "name", F.col("corrected_time").alias("t"))
+    here = at.where(F.col("name") == steps[0]).groupBy(*keys).agg(F.min("t").alias("t1")).withColumn("last", F.col("t1")).withColumn("took", F.lit(0).cast("long"))
+    each = [here.select("game_id", F.lit(1).alias("step"), "took")]
+    for i, step in enumerate(steps[1:], 2):
+        later = at.where(F.col("name") == step).join(here.select(*keys, "t1", "last"), keys).where((F.col("t") > F.col("last")) & (F.col("t") <= F.col("t1") + window_ms))
+        here = later.groupBy(*keys, "t1", "last").agg(F.min("t").alias("next")).select(*keys, "t1", F.col("next").alias("last"), (F.col("next") - F.col("last")).alias("took"))
+        each.append(here.select("game_id", F.lit(i).alias("step"), "took"))
+    times = each[0]
+    for e in each[1:]:
+        times = times.unionByName(e)
+    by = ["game_id", "step"]
+    took = times.groupBy(*by, "took").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(W.partitionBy(*by).orderBy("took").rowsBetween(W.unboundedPreceding, 0)))
+    n = took.groupBy(*by).agg(F.sum("k").alias("reached"))
+    median = took.join(n, by).where(2 * F.col("upto") >= F.col("reached")).groupBy(*by, "reached").agg(F.min("took").alias("median_ms"))
+    grid = n.select("game_id").distinct().withColumn("step", F.explode(F.array(*[F.lit(i + 1) for i in range(len(steps))]))).withColumn("name", F.element_at(F.array(*map(F.lit, steps)), F.col("step")))
+    out = grid.join(median, by, "left").na.fill(0, ["reached"])
+    before = F.lag("reached").over(W.partitionBy("game_id").orderBy("step"))  # a row a step
+    rate = F.when(F.col("step") == 1, 1.0).otherwise(F.try_divide(F.col("reached").cast("double"), before))
+    return out.withColumn("rate", rate).withColumn("drop_off", 1 - F.col("rate")).select("game_id", "step", "name", "reached", "rate", "drop_off", F.when(F.col("step") > 1, F.col("median_ms")).alias("median_ms"))
+
+
+def export(tables: dict[str, DataFrame], game_id: str, user_id: str) -> DataFrame:
+    """All rows of tables (name -> rows with game_id and user_id) that belong to a subject: section and item (JSON text);
+    an unknown subject has none."""
+    out = None
+    for name, rows in sorted(tables.items()):
+        own = rows.where((F.col("game_id") == game_id) & (F.col("user_id") == user_id))
+        part = own.select(F.lit(name).alias("section"), F.to_json(F.struct(*[c for c in rows.columns if c not in ("game_id", "user_id")])).alias("item"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -78,12 +78,21 @@ def headline(s: DataFrame, as_of: str, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def heatmap(s: DataFrame, as_of: str, cfg: Config = DEFAULT) -> DataFrame:
-    """The cohort triangle with offset 0 and the targets; rate is null where immature."""
+    """The cohort triangle with offset 0 and the targets; rate is null where immature. provisional: the cell's day is not
+    sealed when the day as_of begins."""
     grid = cohorts(s, cfg).withColumn("day_offset", F.explode(F.array(F.lit(0), *[F.lit(t) for t in cfg.retention_targets])))
     out = grid.join(retention_cells(s, cfg), ["game_id", "cohort_date", "day_offset"], "left")
     mature = F.date_diff(F.lit(as_of).cast("date"), "cohort_date") >= F.col("day_offset")
     kept = F.when(mature, F.coalesce("retained_users", F.lit(0))).otherwise(0)
-    return out.select("game_id", "cohort_date", "day_offset", "cohort_size", kept.cast("long").alias("retained"), F.when(mature, F.try_divide(kept.cast("double"), F.col("cohort_size"))).alias("rate"), (F.col("cohort_size") < cfg.retention_low_size).alias("low_confidence"))
+    return out.select("game_id", "cohort_date", "day_offset", "cohort_size", kept.cast("long").alias("retained"), F.when(mature, F.try_divide(kept.cast("double"), F.col("cohort_size"))).alias("rate"), (F.col("cohort_size") < cfg.retention_low_size).alias("low_confidence"),
+                      (timex.seal_state(F.expr("date_add(cohort_date, day_offset)"), timex.day_start_ms(F.lit(as_of).cast("date"), cfg), cfg) != "sealed").alias("provisional"))
+
+
+def average_by_day(s: DataFrame, first: str, last: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Average session length by game for every day from first to last: 0 where no session touches it."""
+    got = session_day_result(s, cfg).select("game_id", F.col("on_day").alias("day"), "duration_sum_ms", "sessions_touching")
+    days = s.select("game_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+    return days.join(got, ["game_id", "day"], "left").select("game_id", "day", F.coalesce(F.try_divide(F.col("duration_sum_ms").cast("double"), F.col("sessions_touching")), F.lit(0.0)).alias("average_ms"))
 
 
 def ztest(s: DataFrame, target: int, cfg: Config = DEFAULT) -> DataFrame:

@@ -308,7 +308,7 @@ def _(t):
 
 
 @query("q_retention_heatmap", f"""WITH {O.SESSIONS}, g(t) AS (VALUES (0), (1), (7), (30)) SELECT c.game_id, CAST(c.cohort_date AS VARCHAR) AS cohort_date, {n('g.t', 'day_offset')}, cohort_size,
-{n(f"CASE WHEN DATE '{AS_OF}' - c.cohort_date >= g.t THEN coalesce(retained, 0) ELSE 0 END", 'retained')}, {r6(f"CASE WHEN DATE '{AS_OF}' - c.cohort_date >= g.t THEN coalesce(retained, 0) / cohort_size END", 'rate')}, cohort_size < 30 AS low_confidence
+{n(f"CASE WHEN DATE '{AS_OF}' - c.cohort_date >= g.t THEN coalesce(retained, 0) ELSE 0 END", 'retained')}, {r6(f"CASE WHEN DATE '{AS_OF}' - c.cohort_date >= g.t THEN coalesce(retained, 0) / cohort_size END", 'rate')}, cohort_size < 30 AS low_confidence, {AS_OF_MS} < (c.cohort_date + g.t - DATE '1970-01-01' + 3) * CAST(86400000 AS BIGINT) AS provisional
 FROM cohort c CROSS JOIN g LEFT JOIN cell ON cell.game_id = c.game_id AND cell.cohort_date = c.cohort_date AND cell.day_offset = g.t""")
 def _(t):
     return S.heatmap(t.sessions, AS_OF, CFG)
@@ -754,3 +754,72 @@ CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR
 def _(t):
     e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").where("event_id % 20 = 0")
     return e.select("event_id", periods.count(F.col("value") * 100).alias("a_count"), periods.compact(F.col("value") * 100).alias("a_compact"), periods.duration(F.col("value") * 1000).alias("a_duration"))
+
+
+@query("q_session_average_day", f"""WITH {O.SESSIONS}, g AS (SELECT DISTINCT game_id FROM sess), x AS (SELECT CAST(unnest(range(DATE '2023-12-25', DATE '2024-02-06', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT g.game_id, CAST(x.day AS VARCHAR) AS day, {r6('coalesce(sum(part) / count(p.game_id), 0)', 'average_ms')} FROM g CROSS JOIN x LEFT JOIN day_parts p ON p.game_id = g.game_id AND p.on_day = x.day GROUP BY 1, 2""")
+def _(t):
+    return S.average_by_day(t.sessions, "2023-12-25", "2024-02-05", CFG)
+
+
+@query("q_top_package_count", f"""WITH {O.MONEY}, s AS (SELECT game_id, in_game_state, product_id, sum(norm) AS revenue, count(*) AS n FROM dims GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY game_id, in_game_state ORDER BY n DESC, product_id) AS i FROM s)
+SELECT game_id, in_game_state, product_id, {r6('revenue', 'revenue')}, {n('n', 'n')} FROM r WHERE i = 1""")
+def _(t):
+    return M.top_package(t.dims, "in_game_state", "n")
+
+
+@query("q_cell_local", f"""WITH {O.MONEY} SELECT game_id, product_id, {d('day')}, currency, {r6('sum(price)', 'local')} FROM dims GROUP BY 1, 2, 3, 4""")
+def _(t):
+    return M.local_sums(t.dims, CFG).groupBy("game_id", "product_id", "day", "currency").agg(F.sum("local").alias("local"))
+
+
+@query("q_funnel_steps", f"""WITH {O.ROUTED}, a AS (SELECT game_id, user_id, name, corrected_time AS t FROM counted WHERE user_id IS NOT NULL), s1 AS (SELECT game_id, user_id, min(t) AS t1 FROM a WHERE name = 'session' GROUP BY 1, 2),
+s2 AS (SELECT s1.*, min(t) AS t2 FROM s1 JOIN a USING (game_id, user_id) WHERE name = 'economy' AND t > t1 AND t <= t1 + 604800000 GROUP BY ALL), s3 AS (SELECT s2.*, min(t) AS t3 FROM s2 JOIN a USING (game_id, user_id) WHERE name = 'purchase' AND t > t2 AND t <= t1 + 604800000 GROUP BY ALL),
+x AS (SELECT game_id, 1 AS step, NULL AS took FROM s1 UNION ALL SELECT game_id, 2, t2 - t1 FROM s2 UNION ALL SELECT game_id, 3, t3 - t2 FROM s3), r AS (SELECT game_id, step, count(*) AS reached, quantile_disc(took, 0.5) AS median_ms FROM x GROUP BY 1, 2),
+l AS (SELECT *, CASE WHEN step = 1 THEN 1.0 ELSE reached / lag(reached) OVER (PARTITION BY game_id ORDER BY step) END AS rate FROM r)
+SELECT game_id, {n('step', 'step')}, ['session', 'economy', 'purchase'][step] AS name, {n('reached', 'reached')}, {r6('rate', 'rate')}, {r6('1 - rate', 'drop_off')}, {n('median_ms', 'median_ms')} FROM l""")
+def _(t):
+    return privacy.funnel_steps(t.counted.where("user_id IS NOT NULL"), ("session", "economy", "purchase"), 7 * 86_400_000)
+
+
+@query("q_dsar_bundle", f"""WITH {_BOTH}, {O.ECONOMY.removeprefix(O.ROUTED).removeprefix(',').strip()}
+SELECT 'active_days' AS section, '{{"day":"' || CAST(day AS VARCHAR) || '"}}' AS item FROM act WHERE game_id = 'g1' AND user_id = 'u7' UNION ALL
+SELECT 'balances', '{{"currency":"' || currency || '","balance":' || CAST(balance AS VARCHAR) || '}}' FROM bal WHERE game_id = 'g1' AND user_id = 'u7' UNION ALL
+SELECT 'first_seen', '{{"first_seen_ms":' || CAST(first_seen_ms AS VARCHAR) || '}}' FROM spine WHERE game_id = 'g1' AND user_id = 'u7' UNION ALL
+SELECT 'purchases', '{{"transaction_id":"' || tx || '","product_id":"' || product_id || '","currency":"' || conv.currency || '"}}' FROM conv WHERE game_id = 'g1' AND user_id = 'u7' UNION ALL
+SELECT 'sessions', '{{"start_ms":' || CAST(start_ms AS VARCHAR) || ',"end_ms":' || CAST(end_ms AS VARCHAR) || '}}' FROM sess WHERE game_id = 'g1' AND user_id = 'u7'""")
+def _(t):
+    own = ["game_id", "user_id"]
+    return privacy.export({
+        "active_days": S.active_user_day(t.sessions).select(*own, "day"), "balances": ECO.balances(t.flows).select(*own, "currency", "balance"), "first_seen": S.user_spine(t.sessions),
+        "purchases": t.converted.select(*own, "transaction_id", "product_id", "currency"), "sessions": t.sessions.select(*own, "start_ms", "end_ms"),
+    }, "g1", "u7")
+
+
+def _card(name: str, sql: str) -> str:
+    return f"SELECT '{name}' AS card, p.period, {r6(sql, 'value')} FROM p"
+
+
+@query("q_overview_cards", f"""WITH {_BOTH}, p(period, first, last) AS (VALUES ('current', DATE '2024-01-18', DATE '2024-01-24'), ('previous', DATE '2024-01-11', DATE '2024-01-17')), f AS (SELECT {O.day('first_seen_ms')} AS day FROM spine)
+{_card('events', '(SELECT count(*) FROM counted WHERE day BETWEEN first AND last)')} UNION ALL {_card('sessions', '(SELECT count(*) FROM sess WHERE start_day BETWEEN first AND last)')} UNION ALL
+{_card('users', '(SELECT count(*) FROM (SELECT DISTINCT game_id, user_id FROM act WHERE day BETWEEN first AND last))')} UNION ALL {_card('new_users', '(SELECT count(*) FROM f WHERE day BETWEEN first AND last)')} UNION ALL
+{_card('revenue', '(SELECT coalesce(sum(norm), 0) FROM conv WHERE day BETWEEN first AND last)')} UNION ALL {_card('payers', '(SELECT count(*) FROM (SELECT DISTINCT game_id, user_id FROM conv WHERE user_id IS NOT NULL AND day BETWEEN first AND last))')} UNION ALL
+{_card('average_session_ms', '(SELECT coalesce(sum(part) / nullif(count(*), 0), 0) FROM day_parts WHERE on_day BETWEEN first AND last)')} UNION ALL {_card('put_aside', "(SELECT count(*) FROM sealed WHERE reason IS NOT NULL AND reason <> 'nameless' AND arrival_day BETWEEN first AND last)")}""")
+def _(t):
+    chosen = periods.resolve("7d", datetime.date(2024, 1, 24))
+    spans = (("current", chosen.first, chosen.last), ("previous", chosen.previous_first, chosen.previous_last))
+    users = lambda rows, day: F.count_distinct(F.when(day, F.struct("game_id", "user_id")))
+    act, spine = S.active_user_day(t.sessions), S.user_spine(t.sessions).withColumn("day", timex.logical_day("first_seen_ms", CFG))
+    result = S.session_day_result(t.sessions, CFG)
+    cards = {
+        "events": (t.counted, "day", lambda x: F.count(F.when(x, 1))), "sessions": (t.sessions, "start_day", lambda x: F.count(F.when(x, 1))), "users": (act, "day", lambda x: users(act, x)), "new_users": (spine, "day", lambda x: F.count(F.when(x, 1))),
+        "revenue": (t.converted, "day", lambda x: F.coalesce(F.sum(F.when(x, F.col("normalized"))), F.lit(0))), "payers": (t.converted.where("user_id <> ''"), "day", lambda x: users(act, x)),
+        "average_session_ms": (result, "on_day", lambda x: F.coalesce(F.try_divide(F.sum(F.when(x, F.col("duration_sum_ms"))).cast("double"), F.sum(F.when(x, F.col("sessions_touching")))), F.lit(0.0))),
+        "put_aside": (t.routed.where("disposition = 'quarantine'"), "arrival_day", lambda x: F.count(F.when(x, 1))),
+    }
+    out = None
+    for name, (rows, day, value) in cards.items():  # a scan a card, both periods at once
+        both = rows.agg(*[value(F.col(day).between(F.lit(a), F.lit(b))).cast("double").alias(period) for period, a, b in spans])
+        part = both.select(F.lit(name).alias("card"), F.expr("stack(2, 'current', current, 'previous', previous) AS (period, value)"))
+        out = part if out is None else out.unionByName(part)
+    return out

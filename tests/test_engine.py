@@ -281,3 +281,13 @@ def test_live_sessions_split_where_batch_does(spark, tmp_path):
     got = sorted((r.start_ms, r.end_ms, r.n_events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = spark.createDataFrame([("u", x) for x in times], "user_id string, t long")
     assert got == sorted((r.start_ms, r.end_ms, r.n_events) for r in sessions.sessionize(batch, gap).collect())
+
+
+def test_a_games_own_knobs():
+    from gamelode.config import for_game
+
+    assert for_game({"name_cap": 7, "pii_keys": ["nick"], "retention_targets": [1, 3]}) == Config(name_cap=7, pii_keys=("nick",), retention_targets=(1, 3))
+    assert for_game({"pii_keys": ["b"]}, Config(pii_keys=("a",))).pii_keys == ("a", "b")
+    for bad in ({"nope": 1}, {"name_cap": 0}, {"name_cap": "7"}, {"name_cap": True}, {"dolphin_spend": 500}, {"level_buckets": [5, 3]}, {"retention_targets": ["1"]}, {"active_dims": []}):
+        with pytest.raises(ValueError):
+            for_game(bad)
