@@ -15,6 +15,7 @@ from ..operators.merge import upsert
 from ..sources import envelopes, raw
 from ..sources.store import fresh_folder, materialised
 from . import oracle as O
+from .kinds import dispatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -823,3 +824,17 @@ def _(t):
         part = both.select(F.lit(name).alias("card"), F.expr("stack(2, 'current', current, 'previous', previous) AS (period, value)"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("q_kind_dispatch", f"""WITH {O.ROUTED} SELECT rk AS kind, {n('count(*)', 'n')} FROM counted WHERE rk <> 'purchase' GROUP BY 1 UNION ALL SELECT 'purchase', {n('count(*)', 'n')} FROM counted WHERE money""")
+def _(t):
+    out = None
+    for kind, rows in dispatch(t.routed, CFG).items():
+        part = rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("q_currency_allowlist", f"WITH {O.ROUTED} SELECT game_id, json_extract_string(props, '$.currency_type') AS raw_currency, {n('count(*)', 'n')} FROM counted WHERE rk = 'economy' AND json_extract_string(props, '$.currency_type') IN ('gold', 'gems') GROUP BY 1, 2")
+def _(t):
+    return ECO.flows(t.routed, CFG, ("gold", "gems")).groupBy("game_id", "raw_currency").agg(F.count(F.lit(1)).alias("n"))
