@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages: quality, exact copies, near copies, mixing, piece encoding.
 
-Each stage works on all that the one before kept; all but the last return the columns of documents.
+Each stage works on all that the one before kept; all but the last return the columns of documents, whatever others
+there are beside them. Null and empty texts are clean, equal to each other (the larger id stays), take part in no mixture
+(they have no words) and so are not encoded. Of equal texts the row with the largest id stays, a null id before none; rows
+that repeat the staying id all stay. Of near copies the least id stays. Rows that share an id are documents of their own in
+the mixture. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
