@@ -57,9 +57,9 @@ def count(x: Column) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """45.2K, 8.4M, 999."""
+    """45.2K, 8.4M, 999; halves go up."""
     v = x.cast("double")
-    one = lambda y: F.format_string("%.1f", y)
+    one = lambda y: F.format_string("%.1f", F.floor(y * 10 + 0.5) / 10)
     return _known(x, F.when(F.abs(v) >= 1_000_000, F.concat(one(v / 1_000_000), F.lit("M"))).when(F.abs(v) >= 1_000, F.concat(one(v / 1_000), F.lit("K"))).otherwise(F.floor(v + 0.5).cast("string")))
 
 

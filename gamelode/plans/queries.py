@@ -750,7 +750,7 @@ def _(t):
     return sums.select(F.inline(F.array(*[F.col(f"`{p.name}`") for p in chosen])))
 
 
-@query("q_formats", """SELECT event_id, replace(printf('%,d', CAST(floor(value * 100 + 0.5) AS BIGINT)), '.', ',') AS a_count, CASE WHEN value * 100 >= 1000 THEN printf('%.1f', value * 100 / 1000) || 'K' ELSE CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS a_compact,
+@query("q_formats", """SELECT event_id, replace(printf('%,d', CAST(floor(value * 100 + 0.5) AS BIGINT)), '.', ',') AS a_count, CASE WHEN value * 100 >= 1000 THEN printf('%.1f', floor(value * 100 / 1000 * 10 + 0.5) / 10) || 'K' ELSE CAST(CAST(floor(value * 100 + 0.5) AS BIGINT) AS VARCHAR) END AS a_compact,
 CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's' AS a_duration FROM (SELECT event_id, value, CAST(floor(value + 0.5) AS BIGINT) AS s FROM events WHERE event_id % 20 = 0)""")
 def _(t):
     e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").where("event_id % 20 = 0")
