@@ -152,17 +152,34 @@ def capped(df: DataFrame, cap: int, value: str, out: str, group: list[str], coun
     return joined.withColumn(out, F.when(~counts | F.col(value).isNull() | F.col("__known"), F.col(value)).otherwise(F.lit(other))).drop(*[f"__{g}" for g in group], "__value", "__known")
 
 
+#: Rows of one id that arrived at the same time: the first of them opens the window.
+_TIES = ("game_id", "event_id", "processed_at", "server_received_time")
+
+
 def _windows(df: DataFrame, claims: Column, cfg: Config) -> DataFrame:
-    """df with __opened: the (processed, received) times at which windows of the row's (game, event id) open; null where the
-    id claims once. Rows of one id alone meet, and of them only their distinct times, folded in order."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_set(F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))),
-        F.expr("cast(array() as array<struct<t:bigint,r:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.element_at(acc, -1)["t"] >= cfg.dedup_window_ms), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    repeated = df.where(claims).groupBy("game_id", "event_id").agg(F.count(F.lit(1)).alias("n"), fold.alias("__opened")).where("n > 1")
-    at = repeated.select(F.col("game_id").alias("__g"), F.col("event_id").alias("__e"), "__opened")
-    return df.join(at, claims & (F.col("game_id") == F.col("__g")) & (F.col("event_id") == F.col("__e")), "left").drop("__g", "__e")
+    """df with __opens: whether a window of the row's (game, event id) opens at its time; null where the id claims once.
+
+    Only the distinct times of ids that claim more often are looked at: they stream in order past the time at which the
+    last window opened, so nothing of an id is gathered, and rows are joined by id and time, which spreads a hot id."""
+    times = df.where(claims).groupBy(*_TIES).agg(F.count(F.lit(1)).alias("n"))
+    often = times.groupBy("game_id", "event_id").agg(F.sum("n").alias("all")).where("all > 1").select("game_id", "event_id")
+    dealt = times.join(often, ["game_id", "event_id"], "left_semi").select(*_TIES).repartition("game_id", "event_id").sortWithinPartitions(*_TIES)
+    window = cfg.dedup_window_ms
+
+    def run(batches):
+        of, opened = None, 0
+        for b in batches:
+            opens = []
+            for game, event, t in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                new = (game, event) != of or t - opened >= window
+                if new:
+                    of, opened = (game, event), t
+                opens.append(new)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(opens, pa.bool_())], names=["__g", "__e", "__t", "__r", "__opens"])
+
+    at = dealt.mapInArrow(run, "__g string, __e string, __t long, __r long, __opens boolean")
+    same = (F.col("game_id") == F.col("__g")) & (F.col("event_id") == F.col("__e")) & (F.col("processed_at") == F.col("__t")) & (F.col("server_received_time") == F.col("__r"))
+    return df.join(at, claims & same, "left").drop("__g", "__e", "__t", "__r")
 
 
 def _numbered(df: DataFrame, needs: Column, key: list[Column]) -> DataFrame:
@@ -171,18 +188,10 @@ def _numbered(df: DataFrame, needs: Column, key: list[Column]) -> DataFrame:
     return df.where(~needs).withColumn("__nth", F.lit(1)).unionByName(some)
 
 
-def _opens() -> Column:
-    return F.array_contains("__opened", F.struct(F.col("processed_at").alias("t"), F.col("server_received_time").alias("r")))
-
-
-#: Rows of one id that arrived at the same time: the first of them opens the window.
-_TIES = ("game_id", "event_id", "processed_at", "server_received_time")
-
-
 def with_window_dedup(df: DataFrame, claims: Column, cfg: Config = DEFAULT) -> DataFrame:
     """first_in_window: whether a claiming row opens a window of its (game, event id); windows don't slide."""
-    df = _numbered(_windows(df, claims, cfg), F.col("__opened").isNotNull(), [F.col(c) for c in _TIES])
-    return df.withColumn("first_in_window", F.coalesce(_opens() & (F.col("__nth") == 1), F.lit(True))).drop("__opened", "__nth")
+    df = _numbered(_windows(df, claims, cfg), F.col("__opens").isNotNull(), [F.col(c) for c in _TIES])
+    return df.withColumn("first_in_window", F.coalesce(F.col("__opens") & (F.col("__nth") == 1), F.lit(True))).drop("__opens", "__nth")
 
 
 def eligible() -> Column:
@@ -204,9 +213,9 @@ def routed(env: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     df = _windows(df, F.col("__claims"), cfg)
     # money is told apart by its transaction, repeats by their times: one pass over these rows alone
     ties = [F.when(~F.col("money"), F.col(c)) for c in _TIES]
-    df = _numbered(df, F.col("money") | F.col("__opened").isNotNull(), [F.when(F.col("money"), prop("transaction_id")), *ties])
-    counted = open_ & (F.col("__nth") == 1) & F.coalesce(_opens(), F.lit(True))
-    return df.withColumn("counted", counted).drop("__nth", "__opened", "__claims", "early_reason", "fields")
+    df = _numbered(df, F.col("money") | F.col("__opens").isNotNull(), [F.when(F.col("money"), prop("transaction_id")), *ties])
+    counted = open_ & (F.col("__nth") == 1) & F.coalesce("__opens", F.lit(True))
+    return df.withColumn("counted", counted).drop("__nth", "__opens", "__claims", "early_reason", "fields")
 
 
 def exception_tally(r: DataFrame) -> DataFrame:
