@@ -174,7 +174,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", vec
 
 
 def _kept(parts: list, k: int) -> DataFrame:
-    """query_id, dim, vec_id, most, share of the scans' candidates that may be among a query's k best of all tasks; written."""
+    """query_id, dim, vec_id, most, share of the scans' candidates that may be among a query's k best of all tasks; written.
+    What is broadcast has a row a query, QUERY_BLOCK * BLOCKS_AT_ONCE at most."""
     found = parts[0][0]
     for p, _ in parts[1:]:
         found = found.unionByName(p)
@@ -183,10 +184,10 @@ def _kept(parts: list, k: int) -> DataFrame:
         sent.unpersist()
     nth = F.row_number().over(W.partitionBy("query_id", "dim").orderBy(F.desc("least")))
     sure = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id", "dim").agg(F.min("least").alias("sure"), F.count(F.lit(1)).alias("n"))
-    left = found.join(sure, ["query_id", "dim"]).where((F.col("n") < k) | (F.col("most") >= F.col("sure")))
+    left = found.join(F.broadcast(sure), ["query_id", "dim"]).where((F.col("n") < k) | (F.col("most") >= F.col("sure")))
     left = common.saved(left.groupBy("query_id", "dim", "vec_id").agg(F.max("most").alias("most")))
     shares = left.groupBy("query_id", "dim").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
-    return left.join(shares, ["query_id", "dim"]).withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares"))).drop("shares")
+    return left.join(F.broadcast(shares), ["query_id", "dim"]).withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares"))).drop("shares")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
