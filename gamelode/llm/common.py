@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources.store import materialised
 
@@ -161,17 +161,32 @@ def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
+class Ids:
+    """A set of ids (column id) as a bit array of bounded size, sent to the scans; a few other ids pass as well."""
+
+    def __init__(self, ids: DataFrame):
+        self.bits = filter_bits(ids.count(), 16)
+        self.sent = ids.sparkSession.sparkContext.broadcast(bit_array(ids.select(self.slot("id").alias("slot")), self.bits))
+
+    def slot(self, key: str) -> Column:
+        return F.xxhash64(key).bitwiseAND(self.bits - 1)
+
+    def keeper(self):
+        """A function of a batch and its column of slots, to be used in a scan: the rows whose id is in."""
+        sent = self.sent
+        return lambda b, column: b.filter(pa.array(in_filter(sent.value, b.column(column).to_numpy())))
+
+
 def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key is among ids (column id), and a few others: a bit array of bounded size goes to the scan."""
-    bits = filter_bits(ids.count(), 16)
-    sent = rows.sparkSession.sparkContext.broadcast(bit_array(ids.select(F.xxhash64("id").bitwiseAND(bits - 1).alias("slot")), bits))
-    n = len(rows.columns)
+    """The rows whose key is among ids (column id), and a few others."""
+    known, n = Ids(ids), len(rows.columns)
+    keep = known.keeper()
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(in_filter(sent.value, b.column(n).to_numpy()))).select(list(range(n)))
+            yield keep(b, n).select(list(range(n)))
 
-    return arrow_map(rows.withColumn("__among", F.xxhash64(key).bitwiseAND(bits - 1)), run, rows.schema)
+    return arrow_map(rows.withColumn("__among", known.slot(key)), run, rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
