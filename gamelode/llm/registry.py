@@ -17,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op2_va_file_top_k": va_file.SQL,
     "op6_url_filter": url_filter.sql(),
+    "op8_suffix_dedup": suffix_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

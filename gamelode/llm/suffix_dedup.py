@@ -320,3 +320,17 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every window of 200 bytes, as hexadecimal digits, counted by its hash; runs of repeated ones cut out.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, md5_number(array_slice(h, 2 * i + 1, 2 * i + 400)) AS k FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM b WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a) || any_value(h)[2 * max(z) + 1 : ] AS rest FROM p JOIN b USING (doc_id) GROUP BY 1)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)
+"""
