@@ -63,7 +63,9 @@ class Tables:
 
     @cached_property
     def env(self):
-        return materialised(envelopes.adapted(self.spark, self.sf_dir))
+        env, cores = envelopes.adapted(self.spark, self.sf_dir), self.spark.sparkContext.defaultParallelism
+        # a file of fewer splits than there are cores is dealt out once, as it is stored; larger ones stay as they are
+        return materialised(env.repartition(cores) if env.rdd.getNumPartitions() < cores else env)
 
     @cached_property
     def routed(self):

@@ -27,23 +27,28 @@ def decode_frames(spark: SparkSession, path: str) -> DataFrame:
 
     import pyarrow as pa
 
+    def frames(name: str, content: bytes) -> tuple[list[tuple[int, int]], bool]:
+        """(first byte, end) of each whole frame's body, and whether the last frame is cut off."""
+        at, found = 0, []
+        while at < len(content):
+            if len(content) - at < 8:
+                return found, True
+            magic, size = struct.unpack_from(">4sI", content, at)
+            if magic != b"RAW1":
+                raise ValueError(f"no frame at byte {at} of {name}")
+            if at + 8 + size > len(content):
+                return found, True
+            found.append((at + 8, at + 8 + size))
+            at += 8 + size
+        return found, False
+
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, found, cut = 0, [], False
-                while at < len(content):
-                    if len(content) - at < 8:
-                        cut = True
-                        break
-                    magic, size = struct.unpack_from(">4sI", content, at)
-                    if magic != b"RAW1":
-                        raise ValueError(f"no frame at byte {at} of {name}")
-                    if at + 8 + size > len(content):
-                        cut = True
-                        break
-                    found.append(gzip.decompress(content[at + 8 : at + 8 + size]).decode())
-                    at += 8 + size
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string()), pa.array([cut] * len(found), pa.bool_())], names=["path", "payload", "truncated_tail"])
+                found, cut = frames(name, content)
+                for i in range(0, len(found), 1024):
+                    some = [gzip.decompress(content[s:e]).decode() for s, e in found[i : i + 1024]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([cut] * len(some), pa.bool_())], names=["path", "payload", "truncated_tail"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, payload string, truncated_tail boolean")
 
